@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "safe_div", "pct", "r2", "r6", "month_start", "period_start",
+    "col_of", "safe_div", "pct", "rnd", "r2", "r6", "month_start", "period_start",
     "period_step", "clean_amount", "contains_safe", "quartile_score", "PERIODS",
 ]
 
@@ -37,14 +37,40 @@ def pct(num, den) -> Column:
     return safe_div(num, den) * F.lit(100.0)
 
 
+_LIMIT = 4e15  # below 2**52: doubles still hold every integer exactly
+
+
+def _half_even(x: Column, d: int) -> Column:
+    p = float(10 ** d)
+    y = x * F.lit(p)
+    f = F.floor(F.least(F.greatest(y, F.lit(-_LIMIT)), F.lit(_LIMIT))).cast("double")
+    frac = y - f
+    r = (F.when(frac > 0.5, f + 1.0).when(frac < 0.5, f)
+          .otherwise(f + F.abs(f % F.lit(2.0))))
+    return F.when(F.abs(y) < _LIMIT, r / F.lit(p)).otherwise(x)
+
+
+def rnd(c, d: int) -> Column:
+    """Half-even rounding to ``d`` places, written in plain IEEE arithmetic.
+
+    The value is first rounded at ``d + 3`` places, which absorbs the last-bit
+    noise of sums taken in a different order, then at ``d``. Because only
+    floor, +, *, / and % are used, DuckDB's twin (``round_even`` rewritten in
+    ``plans.sqlkit``) returns bit-identical doubles, even on exact ties where
+    ``bround`` and ``round_even`` can disagree.
+    """
+    x = col_of(c).cast("double")
+    return _half_even(_half_even(x, d + 3), d)
+
+
 def r2(c) -> Column:
     """Half-even rounding to 2 places (money, pandas ``round(2)``)."""
-    return F.bround(col_of(c), 2)
+    return rnd(c, 2)
 
 
 def r6(c) -> Column:
     """Half-even rounding to 6 places: the fixed output precision of ratios."""
-    return F.bround(col_of(c), 6)
+    return rnd(c, 6)
 
 
 def month_start(c) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import (month_start, pct, quartile_score, r2, r6, safe_div)
+from ledgerlake.functions.columns import (month_start, pct, quartile_score, r2, r6, rnd, safe_div)
 from ledgerlake.operators.common import ordered_cumsum
 from ledgerlake.operators.timeseries import client_months
 
@@ -60,7 +60,7 @@ def rfm(orders: DataFrame, client: str = "client", date: str = "date", total: st
 
 
 def _segment(share):
-    s = F.bround(share, 9)
+    s = rnd(share, 9)
     return (F.when((s > 0) & (s <= 20), "High-value")
              .when((s > 20) & (s <= 50), "Mid-value")
              .when((s > 50) & (s <= 100), "Low-value"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import month_start, pct, period_start, r2, r6, safe_div
+from ledgerlake.functions.columns import month_start, pct, period_start, r2, r6, rnd, safe_div
 from ledgerlake.operators.common import ordered_cumsum
 
 INF = float("inf")
@@ -75,7 +75,7 @@ def gross_margin_rate(df: DataFrame, groupby: str | None = None, time_freq: str
     g = d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
     return g.select(*keys, r2("revenue").alias("revenue"), r2("total_cost").alias("total_cost"),
                     r2("gross_profit").alias("gross_profit"), r6("units").alias("units"),
-                    F.bround(pct("gross_profit", "revenue"), 2).alias("margin_rate"))
+                    rnd(pct("gross_profit", "revenue"), 2).alias("margin_rate"))
 
 
 def margin_stats(rates: DataFrame, col: str = "margin_rate") -> DataFrame:
@@ -159,8 +159,8 @@ def product_profitability(lines: DataFrame, inventory: DataFrame, period: str =
                     "cost_price", "retail_price", "retail_price_us", "active_periods",
                     r2("total_revenue").alias("total_revenue"), r2("total_cost").alias("total_cost"),
                     r2("gross_profit").alias("gross_profit"),
-                    F.bround(pct("gross_profit", "total_revenue"), 2).alias("margin_rate"),
-                    F.bround(safe_div("total_units", "active_periods"), 2).alias("avg_units_per_period"))
+                    rnd(pct("gross_profit", "total_revenue"), 2).alias("margin_rate"),
+                    rnd(safe_div("total_units", "active_periods"), 2).alias("avg_units_per_period"))
 
 
 def profitability_stats(profit: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def abc_classes(lines: DataFrame, inventory: DataFrame, period: str = "M",
     prof = product_profitability(lines, inventory, period)
     cum = ordered_cumsum(prof, [F.col("total_revenue").desc_nulls_last(), F.col("product_id").asc()],
                          {"_cum": "total_revenue"}, partitions=partitions, grand_totals=True)
-    share = F.bround(safe_div("_cum", "_cum_grand"), 9)
+    share = rnd(safe_div("_cum", "_cum_grand"), 9)
     cls = F.when(share <= th["A"], "A").when(share <= th["B"], "B").otherwise("C")
     stock = inventory.groupBy(F.col("id").alias("product_id")).agg(F.sum("qty").alias("current_stock"))
     out = cum.withColumn("revenue_contribution", r6(safe_div("total_revenue", "_cum_grand"))) \
@@ -203,7 +203,7 @@ def abc_summary(abc: DataFrame) -> DataFrame:
     allw = Window.partitionBy()
     return g.select("abc_category", "product_count", r2("total_revenue").alias("total_revenue"),
                     r6("total_units").alias("total_units"), r2("gross_profit").alias("gross_profit"),
-                    F.bround(pct("total_revenue", F.sum("total_revenue").over(allw)), 2).alias("revenue_percent"))
+                    rnd(pct("total_revenue", F.sum("total_revenue").over(allw)), 2).alias("revenue_percent"))
 
 
 def stock_recommendations(lines: DataFrame, inventory: DataFrame, lead_time_days: int = 7,
@@ -225,15 +225,15 @@ def stock_recommendations(lines: DataFrame, inventory: DataFrame, lead_time_days
             .when(F.col("abc_category") == "C", sd["C"])
     r = r.withColumn("safety_stock_days", days)
     lead = float(lead_time_days)
-    r = r.withColumn("safety_stock", F.bround(F.col("avg_daily_sales") * F.col("safety_stock_days")
+    r = r.withColumn("safety_stock", rnd(F.col("avg_daily_sales") * F.col("safety_stock_days")
                                               + F.col("sales_std") * F.lit(lead ** 0.5), 0))
-    r = r.withColumn("reorder_point", F.bround(F.col("avg_daily_sales") * lead + F.col("safety_stock"), 0))
-    r = r.withColumn("optimal_order_qty", F.bround(
+    r = r.withColumn("reorder_point", rnd(F.col("avg_daily_sales") * lead + F.col("safety_stock"), 0))
+    r = r.withColumn("optimal_order_qty", rnd(
         F.col("avg_daily_sales") * F.sqrt(F.lit(2 * lead) * F.col("safety_stock_days")), 0))
     status = (F.when(F.col("current_stock") <= F.col("safety_stock"), "Critical")
                .when(F.col("current_stock") <= F.col("reorder_point"), "Reorder").otherwise("Adequate"))
     dos = F.when(F.col("avg_daily_sales") > 0,
-                 F.bround(F.col("current_stock") / F.col("avg_daily_sales"), 0)).otherwise(F.lit(999.0))
+                 rnd(F.col("current_stock") / F.col("avg_daily_sales"), 0)).otherwise(F.lit(999.0))
     return r.withColumn("stock_status", status).withColumn("days_of_stock", dos) \
             .withColumn("avg_daily_sales", r6("avg_daily_sales")).withColumn("sales_std", r6("sales_std"))
 

@@ -22,11 +22,12 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            from ledgerlake.plans.sqlkit import rewrite_rounding
+            ORACLES[name] = rewrite_rounding(sql)
         return fn
     return deco
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from ledgerlake.plans import q_basic, q_customers, q_inventory, q_time  # noqa: F401
+    from ledgerlake.plans import q_basic, q_customers, q_inventory, q_products, q_time  # noqa: F401

@@ -9,3 +9,61 @@ def spine(src: str, col: str = "period", step: str = "1 MONTH") -> str:
 
 def month(c: str = "date") -> str:
     return f"CAST(date_trunc('month', {c}) AS DATE)"
+
+
+def _half_even_sql(v: str, d: int) -> str:
+    p = f"CAST({10 ** d} AS DOUBLE)"
+    y = f"({v} * {p})"
+    f = f"floor(least(greatest({y}, -4e15), 4e15))"
+    r = (f"(CASE WHEN {y} - {f} > 0.5 THEN {f} + 1 WHEN {y} - {f} < 0.5 THEN {f} "
+         f"ELSE {f} + abs({f} % 2) END)")
+    return f"(CASE WHEN abs({y}) < 4e15 THEN {r} / {p} ELSE {v} END)"
+
+
+def rnd(expr: str, d: int) -> str:
+    """DuckDB twin of ``functions.columns.rnd`` (same arithmetic, same bits)."""
+    inner = _half_even_sql("v", d + 3)
+    outer = _half_even_sql("w", d)
+    return (f"list_transform(list_transform([CAST(({expr}) AS DOUBLE)], lambda v: {inner}), "
+            f"lambda w: {outer})[1]")
+
+
+def _split_args(body: str) -> list[str]:
+    depth, parts, cur, quote = 0, [], [], False
+    for ch in body:
+        if ch == "'" :
+            quote = not quote
+        if not quote:
+            if ch in "([":
+                depth += 1
+            elif ch in ")]":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                parts.append("".join(cur))
+                cur = []
+                continue
+        cur.append(ch)
+    parts.append("".join(cur))
+    return parts
+
+
+def rewrite_rounding(sql: str) -> str:
+    """Replace every ``round_even(expr, d)`` by ``rnd(expr, d)`` (recursively)."""
+    key = "round_even("
+    out, i = [], 0
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth = j + len(key), 1
+        while depth:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            k += 1
+        args = _split_args(sql[j + len(key):k - 1])
+        expr, d = ",".join(args[:-1]), int(args[-1].strip())
+        out.append(rnd(rewrite_rounding(expr), d))
+        i = k
