@@ -30,4 +30,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from ledgerlake.plans import q_basic, q_customers, q_inventory, q_products, q_time  # noqa: F401
+    from ledgerlake.plans import (q_basic, q_clean, q_customers, q_inventory,  # noqa: F401
+                                  q_products, q_time)
