@@ -37,30 +37,36 @@ def pct(num, den) -> Column:
     return safe_div(num, den) * F.lit(100.0)
 
 
-_LIMIT = 4e15  # below 2**52: doubles still hold every integer exactly
-
-
-def _half_even(x: Column, d: int) -> Column:
-    p = float(10 ** d)
-    y = x * F.lit(p)
-    f = F.floor(F.least(F.greatest(y, F.lit(-_LIMIT)), F.lit(_LIMIT))).cast("double")
-    frac = y - f
-    r = (F.when(frac > 0.5, f + 1.0).when(frac < 0.5, f)
-          .otherwise(f + F.abs(f % F.lit(2.0))))
-    return F.when(F.abs(y) < _LIMIT, r / F.lit(p)).otherwise(x)
+def sig_digits(d: int) -> int:
+    """Significant digits kept by ``rnd(., d)``: 10 for 6-place ratios and
+    means, 12 otherwise (money to the cent below 10**10)."""
+    return 10 if d == 6 else 12
 
 
 def rnd(c, d: int) -> Column:
-    """Half-even rounding to ``d`` places, written in plain IEEE arithmetic.
-
-    The value is first rounded at ``d + 3`` places, which absorbs the last-bit
-    noise of sums taken in a different order, then at ``d``. Because only
-    floor, +, *, / and % are used, DuckDB's twin (``round_even`` rewritten in
-    ``plans.sqlkit``) returns bit-identical doubles, even on exact ties where
-    ``bround`` and ``round_even`` can disagree.
+    """Half-even rounding to ``d`` places (fewer for large magnitudes: at
+    most ``sig_digits(d)`` significant digits remain).
+
+    Step 1 rounds to an integer count of 10**-(d+3) units, which absorbs the
+    last-bit noise of sums added up in a different order; step 2 applies
+    half-even to that integer with exact integer arithmetic. DuckDB's twin
+    (``plans.sqlkit.rnd``, which ``round_even`` in oracle SQL is rewritten
+    to) performs the same operations, so both engines return the same
+    double, including on exact ties. Values of 1e15 and above pass through.
     """
+    sig = sig_digits(d)
     x = col_of(c).cast("double")
-    return _half_even(_half_even(x, d + 3), d)
+    ax = F.abs(x)
+    dd = F.lit(d)
+    for i in range(sig - d, sig):
+        dd = dd - F.when(ax >= F.lit(float(10 ** i)), 1).otherwise(0)
+    p = F.pow(F.lit(10.0), dd)
+    p3 = F.pow(F.lit(10.0), dd + 3)
+    n = F.round(F.least(F.greatest(x * p3, F.lit(-1e17)), F.lit(1e17))).cast("long")
+    r = F.pmod(n, F.lit(1000))
+    q = F.floor((n - r) / F.lit(1000))
+    adj = F.when(r > 500, 1).when(r < 500, 0).otherwise(F.pmod(q, F.lit(2)))
+    return F.when(ax < F.lit(1e15), (q + adj).cast("double") / p).otherwise(x)
 
 
 def r2(c) -> Column:

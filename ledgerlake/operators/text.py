@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import r6
+from ledgerlake.functions.columns import r2, r6
 from ledgerlake.operators.common import top_per_group
 
 # Routing keywords and answer phrases of the shop's question router.
@@ -106,7 +106,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_id: st
         scored = scored.unionByName(p)
     top = top_per_group(scored, [query_id], [F.col("score").desc_nulls_last(), F.col(vec_id).asc()], k,
                         salt_on=vec_id, rank_col="rank")
-    return top.select(query_id, vec_id, r6("score").alias("score"), "rank")
+    return top.select(query_id, vec_id, r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _kpi_struct(kpis: DataFrame, metrics: Sequence[str]):
+    """All needed KPI values in one scalar subquery (a struct of metrics)."""
+    return kpis.select(F.struct(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+                                  for m in metrics])).scalar()
 
 
 def _any_contains(text_col, words: Sequence[str]):
@@ -134,12 +140,18 @@ def answer_metric_questions(routed: DataFrame, kpis: DataFrame, text: str = "tex
     scalar subquery, so questions are never joined to the KPI table.
     """
     low = F.lower(F.col(text))
+    # Render every rule's sentence once, over the aggregated KPI row, and ship
+    # all of them to the question rows in one struct-valued scalar subquery.
+    vals = kpis.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+                      for _, m, _, _ in METRIC_RULES])
+    rendered = vals.select(F.struct(*[
+        F.format_string(tmpl, F.col(m).cast("long") if is_int else r2(m)).alias(f"r{i}")
+        for i, (_, m, tmpl, is_int) in enumerate(METRIC_RULES)])).scalar()
     ans = F.lit(METRIC_FALLBACK)
-    for phrases, metric, tmpl, is_int in reversed(METRIC_RULES):
-        val = kpis.where(F.col("metric") == metric).select(F.max("value")).scalar()
-        shown = val.cast("long") if is_int else val
-        ans = F.when(_any_contains(low, phrases) & val.isNotNull(), F.format_string(tmpl, shown)) \
-               .otherwise(ans)
+    for i in range(len(METRIC_RULES) - 1, -1, -1):
+        phrases = METRIC_RULES[i][0]
+        sentence = rendered[f"r{i}"]
+        ans = F.when(_any_contains(low, phrases) & sentence.isNotNull(), sentence).otherwise(ans)
     return routed.where(F.col("route") == "metric").withColumn("answer", ans)
 
 
@@ -165,15 +177,12 @@ def instruction_pairs(kpis: DataFrame, templates: Sequence[tuple[str, str]]) ->
     """prompt/completion rows whose ``{metric}`` placeholders are filled
     from the long KPI table (values shown with 2 decimals)."""
     import re
+    needed = sorted({m for _, c in templates for m in re.findall(r"\{(\w+)\}", c)})
+    kv = kpis.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in needed])
     rows = []
     for prompt, completion in templates:
         comp = F.lit(completion)
         for m in sorted(set(re.findall(r"\{(\w+)\}", completion))):
-            val = kpis.where(F.col("metric") == m).select(F.max("value")).scalar()
-            comp = F.replace(comp, F.lit("{" + m + "}"), F.format_string("%.2f", val))
-        rows.append((prompt, comp))
-    out = None
-    for prompt, comp in rows:
-        r = kpis.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(prompt).alias("prompt"), comp.alias("completion"))
-        out = r if out is None else out.unionByName(r)
-    return out
+            comp = F.replace(comp, F.lit("{" + m + "}"), F.format_string("%.2f", r2(F.col(m))))
+        rows.append(F.struct(F.lit(prompt).alias("prompt"), comp.alias("completion")))
+    return kv.select(F.explode(F.array(*rows)).alias("p")).select("p.*")

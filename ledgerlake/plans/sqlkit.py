@@ -11,21 +11,19 @@ def month(c: str = "date") -> str:
     return f"CAST(date_trunc('month', {c}) AS DATE)"
 
 
-def _half_even_sql(v: str, d: int) -> str:
-    p = f"CAST({10 ** d} AS DOUBLE)"
-    y = f"({v} * {p})"
-    f = f"floor(least(greatest({y}, -4e15), 4e15))"
-    r = (f"(CASE WHEN {y} - {f} > 0.5 THEN {f} + 1 WHEN {y} - {f} < 0.5 THEN {f} "
-         f"ELSE {f} + abs({f} % 2) END)")
-    return f"(CASE WHEN abs({y}) < 4e15 THEN {r} / {p} ELSE {v} END)"
-
-
 def rnd(expr: str, d: int) -> str:
-    """DuckDB twin of ``functions.columns.rnd`` (same arithmetic, same bits)."""
-    inner = _half_even_sql("v", d + 3)
-    outer = _half_even_sql("w", d)
-    return (f"list_transform(list_transform([CAST(({expr}) AS DOUBLE)], lambda v: {inner}), "
-            f"lambda w: {outer})[1]")
+    """DuckDB twin of ``functions.columns.rnd`` (same operations, same bits)."""
+    from ledgerlake.functions.columns import sig_digits
+    sig = sig_digits(d)
+    dd = f"({d}" + "".join(f" - CASE WHEN abs(v) >= CAST({10 ** i} AS DOUBLE) THEN 1 ELSE 0 END"
+                           for i in range(sig - d, sig)) + ")"
+    n = f"CAST(round(least(greatest(v * pow(10, {dd} + 3), -1e17), 1e17)) AS BIGINT)"
+    inner = ("list_transform([[n, ((n % 1000) + 1000) % 1000]], lambda t: "
+             "CAST((t[1] - t[2]) // 1000 + CASE WHEN t[2] > 500 THEN 1 WHEN t[2] < 500 THEN 0 "
+             "ELSE ((((t[1] - t[2]) // 1000) % 2) + 2) % 2 END AS DOUBLE))[1]")
+    body = f"list_transform([{n}], lambda n: {inner})[1] / pow(10, {dd})"
+    return (f"list_transform([CAST(({expr}) AS DOUBLE)], lambda v: "
+            f"CASE WHEN abs(v) < 1e15 THEN {body} ELSE v END)[1]")
 
 
 def _split_args(body: str) -> list[str]:

@@ -57,3 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="ledgerlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "16g",
+                  app: str = "ledgerlake") -> SparkSession:
+    """Single-machine session for tests, benches and tools."""
+    return get_session(f"local[{cores}]", app=app, shuffle_partitions=shuffle_partitions or cores,
+                       extra={"spark.driver.memory": memory})

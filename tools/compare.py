@@ -40,7 +40,8 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     load_all()
-    spark = get_session("local[8]", shuffle_partitions=8)
+    from ledgerlake.session import local_session
+    spark = local_session(8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
