@@ -255,3 +255,25 @@ def customer_acquisition_daily(orders: DataFrame, client: str = "client", date:
     """C14 (daily part): distinct clients per observed calendar day."""
     return orders.where(F.col(date).isNotNull()).groupBy(F.to_date(date).alias("day")) \
                  .agg(F.countDistinct(client).alias("customers"))
+
+
+def lost_customers(orders: DataFrame, client: str = "client", date: str = "date") -> DataFrame:
+    """(month, client) for every client of the previous observed month
+    absent in this one: an anti join of distinct (client, month index)
+    pairs with themselves shifted by one observed month."""
+    cm = orders.where(F.col(client).isNotNull() & F.col(date).isNotNull()) \
+               .select(client, month_start(date).alias("month")).distinct()
+    months = cm.select("month").distinct().withColumn("ix", F.dense_rank().over(Window.orderBy("month")))
+    cmi = cm.join(F.broadcast(months), "month")
+    nxt = cmi.select(client, (F.col("ix") - 1).alias("ix"))
+    lost = cmi.join(nxt, [client, "ix"], "left_anti").select(client, (F.col("ix") + 1).alias("ix"))
+    return lost.join(F.broadcast(months), "ix").select("month", client)
+
+
+def first_purchase_join(orders: DataFrame, client: str = "client", date: str = "date") -> DataFrame:
+    """Every order with its client's first purchase date. The per-client
+    minimum is a partial aggregation; joining it back is a key join that
+    AQE's skew handling splits when one client is hot (no window holding a
+    client's whole history in one task)."""
+    first = orders.where(F.col(client).isNotNull()).groupBy(client).agg(F.min(date).alias("first_purchase"))
+    return orders.join(first, client, "left")

@@ -143,3 +143,8 @@ def top_product_series(items: DataFrame, product: str = "product", price: str =
     months = long.select("month").distinct().withColumn(product, top)
     series = long.select("month", product, "revenue")
     return months.join(series, ["month", product], "left").fillna(0.0, subset=["revenue"])
+
+
+def price_join(items: DataFrame, products: DataFrame, product: str = "product") -> DataFrame:
+    """Order items left-joined to the catalogue base price."""
+    return _with_base_price(items, products, product)

@@ -207,3 +207,14 @@ def peak_period(series: DataFrame, value: str = "value", period: str = "period")
     """The maximum and its period (earliest on ties)."""
     return series.where(F.col(value).isNotNull()).orderBy(F.desc(value), F.asc(period)).limit(1) \
                  .select(period, F.col(value).alias("peak_value"))
+
+
+def metric_align(*series: DataFrame, col: str = "period") -> DataFrame:
+    """Outer-align several per-period series on one calendar spine (the
+    spine spans all of them; periods missing from a series stay null)."""
+    from functools import reduce
+    periods = reduce(lambda a, b: a.unionByName(b), [s.select(col) for s in series])
+    out = period_spine(periods, col, "M")
+    for s in series:
+        out = out.join(s, col, "left")
+    return out

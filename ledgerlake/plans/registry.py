@@ -31,4 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from ledgerlake.plans import (q_basic, q_clean, q_customers, q_inventory,  # noqa: F401
-                                  q_forecast, q_plans, q_products, q_sources, q_text, q_time)
+                                  q_extra, q_forecast, q_plans, q_products, q_sources, q_text,
+                                  q_time)

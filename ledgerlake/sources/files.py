@@ -106,17 +106,22 @@ def tables_as_documents(spark: SparkSession, tables: Mapping[str, DataFrame], ro
                         overview: str | None = None) -> DataFrame:
     """Documents (source, doc_ix, content) made from analysis tables.
 
-    Each row becomes a JSON line; a table is split into ceil(rows /
-    rows_per_doc) documents by a hash of the row, so no document (group)
-    grows with the table. Lines inside a document are sorted. A fixed
-    overview document is added when ``overview`` is given.
+    Each distinct row becomes a JSON line (suffixed ' xN' when it occurs N
+    > 1 times); a table is split into ceil(rows / rows_per_doc) documents by
+    a hash of the line, so no document (group) grows with the table. Lines
+    inside a document are sorted. A fixed overview document is added when
+    ``overview`` is given.
     """
     docs = None
     for name, df in tables.items():
         line = F.to_json(F.struct(*df.columns))
         n_docs = F.greatest(F.ceil(df.select(F.count(F.lit(1))).scalar() / F.lit(float(rows_per_doc))),
                             F.lit(1))
-        rows = df.select(line.alias("_line"))
+        # identical rows collapse into one line with their multiplicity, so a
+        # heavily repeated row cannot pile up in one document
+        rows = df.select(line.alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_c")) \
+                 .select(F.when(F.col("_c") > 1, F.concat("_l", F.lit(" x"), F.col("_c").cast("string")))
+                          .otherwise(F.col("_l")).alias("_line"))
         rows = rows.withColumn("doc_ix", F.pmod(F.xxhash64("_line"), n_docs).cast("long"))
         d = rows.groupBy("doc_ix").agg(F.array_sort(F.collect_list("_line")).alias("_lines")) \
                 .select(F.lit(name).alias("source"), "doc_ix",

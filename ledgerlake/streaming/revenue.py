@@ -1,0 +1,33 @@
+"""Revenue over time (T1) and order counts (T4) on a stream.
+
+The batch operators group by a calendar period; on an unbounded source the
+same aggregate is an event-time tumbling window with a watermark, so state
+for a window is dropped once the watermark passes it and results can be
+emitted in append mode. Distinct customers use the streaming-safe
+``approx_count_distinct`` (exact distinct aggregation is not supported on
+streams).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def stream_revenue(events: DataFrame, date: str = "date", total: str = "total", client: str = "client",
+                   period: str = "1 day", watermark: str = "2 days") -> DataFrame:
+    """Per event-time window: revenue, rows and approximate distinct clients."""
+    s = events.withWatermark(date, watermark)
+    g = s.groupBy(F.window(date, period).alias("w")).agg(
+        F.sum(total).alias("revenue"), F.count(F.lit(1)).alias("rows"),
+        F.approx_count_distinct(client).alias("approx_customers"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "revenue", "rows", "approx_customers")
+
+
+def run_to_memory(stream_df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
+    """Start the query into the in-memory sink and drain the available input."""
+    q = (stream_df.writeStream.outputMode(mode).format("memory").queryName(name)
+         .option("checkpointLocation", checkpoint).start())
+    q.processAllAvailable()
+    return q

@@ -1,0 +1,27 @@
+"""The streaming revenue aggregate equals the batch operator on the same rows."""
+
+from pyspark.sql import functions as F
+
+from ledgerlake.operators import timeseries as TS
+from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.sources import tables as tb
+from ledgerlake.streaming.revenue import run_to_memory, stream_revenue
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stream_daily_revenue_matches_batch(spark):
+    events = tb.read_table(spark, SF, "events")
+    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(SF)
+    carts = src.select(F.col("ts").cast("timestamp").alias("date"), F.col("value").alias("total"),
+                       F.col("user_id").alias("client"))
+    ck = ensure_checkpoint_dir(spark) + "/stream-test"
+    q = run_to_memory(stream_revenue(carts, period="1 day", watermark="0 seconds"), "stream_rev", ck,
+                      mode="complete")
+    try:
+        got = {r.window_start.date(): round(r.revenue, 2) for r in spark.table("stream_rev").collect()}
+    finally:
+        q.stop()
+    batch = {r.period: r.revenue for r in TS.revenue_over_time(tb.carts(spark, SF), freq="D").collect()
+             if r.revenue != 0}
+    assert got == batch
