@@ -98,7 +98,8 @@ def inventory_metrics(lines: DataFrame, inventory: DataFrame, ref: str = "ref",
     risk. Items without sales get zeros (and +inf days of inventory)."""
     l = lines.where(F.col(ref).isNotNull() & F.col(date).isNotNull())
     daily = l.groupBy(ref, F.to_date(date).alias("_d")).agg(F.sum(qty).alias("_q"))
-    weekly = l.groupBy(ref, period_start(date, "W").alias("_w")).agg(F.sum(qty).alias("_q"))
+    # weeks are sums of days: one pass over the lines feeds both grains
+    weekly = daily.groupBy(ref, period_start("_d", "W").alias("_w")).agg(F.sum("_q").alias("_q"))
     ds = _stats(daily, ref, "daily").withColumnRenamed("dailys_with_sales", "days_with_sales")
     ws = _stats(weekly, ref, "weekly").withColumnRenamed("weeklys_with_sales", "weeks_with_sales")
     inv = inventory.select(F.col("id").alias(ref), F.col("qty").alias("stock_qty"))
@@ -141,10 +142,15 @@ def product_profitability(lines: DataFrame, inventory: DataFrame, period: str =
     Two-level aggregation: (product, period) first, so the distinct period
     count is a plain count and no Expand is planned.
     """
-    e = enrich_sales(lines, inventory, ref=ref) \
-        .where(F.col(ref).isNotNull() & F.col("lib").isNotNull() & F.col("sfa").isNotNull())
-    p1 = e.groupBy(ref, "lib", "sfa", period_start(date, period).alias("_p")).agg(
-        F.sum(qty).alias("_u"), F.count(qty).alias("_t"), F.min("factory_price").alias("_c"),
+    # Lines are reduced to (product, period) before they meet the inventory:
+    # the join key is part of the grouping and the inventory only adds group
+    # keys and min() prices, so pre-aggregating is exact (duplicate inventory
+    # ids still fan out the sums, as the row-level merge does).
+    pre = lines.where(F.col(ref).isNotNull()).groupBy(ref, period_start(date, period).alias("_p")).agg(
+        F.sum(qty).alias("_u0"), F.count(qty).alias("_t0"))
+    e = enrich_sales(pre, inventory, ref=ref).where(F.col("lib").isNotNull() & F.col("sfa").isNotNull())
+    p1 = e.groupBy(ref, "lib", "sfa", "_p").agg(
+        F.sum("_u0").alias("_u"), F.sum("_t0").alias("_t"), F.min("factory_price").alias("_c"),
         F.min("retail").alias("_r"), F.min("retail_us").alias("_ru"))
     g = p1.groupBy(ref, "lib", "sfa").agg(
         F.sum("_u").alias("total_units"), F.sum("_t").alias("total_transactions"),

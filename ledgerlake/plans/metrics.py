@@ -14,14 +14,17 @@ from ledgerlake.operators.common import kpi_long, period_spine
 from ledgerlake.sources import tables as tb
 
 
-def monthly_metrics(orders: DataFrame, refund_states=("O",), cancel_state: str = "P") -> DataFrame:
+def monthly_metrics(orders: DataFrame, country_orders: DataFrame | None = None, refund_states=("O",),
+                    cancel_state: str = "P") -> DataFrame:
     """One row per calendar month (spine from first to last month):
     revenue, orders, unique customers, AOV, new and returning customers,
     churn rate (% of the previous observed month's clients lost), refund and
     cancellation counts and amounts, top payment method and top country.
 
-    ``orders`` must carry ``country``. Every branch is reduced to one row per
-    month (or per month x key) before the branches are joined on the month.
+    ``country_orders`` (orders with ``country``; defaults to ``orders``) feeds
+    only the top-country branch, so the customer join runs once. Every
+    branch is reduced to one row per month (or per month x key) before the
+    branches are joined on the month.
     """
     o = orders.where(F.col("date").isNotNull())
     is_ref = F.lit(False)
@@ -39,7 +42,8 @@ def monthly_metrics(orders: DataFrame, refund_states=("O",), cancel_state: str =
                                            "returning_customers")
     churn = C.churn_monthly(orders).select(F.col("month").alias("period"), "churn_rate")
     pay = TS.monthly_top_payment(orders).select("period", "top_payment")
-    ctry = TS.monthly_top_country(orders).select("period", "top_country")
+    ctry = TS.monthly_top_country(country_orders if country_orders is not None else orders) \
+             .select("period", "top_country")
     m = spine.join(base, "period", "left").join(nr, "period", "left").join(churn, "period", "left") \
              .join(pay, "period", "left").join(ctry, "period", "left")
     zero = ["revenue", "orders", "unique_customers", "refund_count", "refund_amount", "cancel_count",

@@ -162,4 +162,5 @@ def _f9(spark, sf):
 
 @register("multi_metric_forecast")
 def _f11(spark, sf):
-    return FC.multi_metric_forecast(monthly_metrics(tb.orders(spark, sf, with_country=True)), MONTHLY_KPIS)
+    return FC.multi_metric_forecast(monthly_metrics(tb.orders(spark, sf), tb.orders(spark, sf, with_country=True)),
+                                    MONTHLY_KPIS)

@@ -113,7 +113,7 @@ SELECT sp.period, round_even(coalesce(revenue, 0), 2) AS revenue, coalesce(order
 FROM sp LEFT JOIN base USING (period) LEFT JOIN nr USING (period) LEFT JOIN ch USING (period)
 LEFT JOIN pay USING (period) LEFT JOIN ctry USING (period)""", "orders_c"))
 def _t14(spark, sf):
-    return monthly_metrics(tb.orders(spark, sf, with_country=True))
+    return monthly_metrics(tb.orders(spark, sf), tb.orders(spark, sf, with_country=True))
 
 
 @register("customer_report", V(f"""
