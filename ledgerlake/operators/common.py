@@ -14,6 +14,7 @@ from __future__ import annotations
 from typing import Iterable, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,11 +67,15 @@ def ordered_cumsum(df: DataFrame, order: Sequence, values: dict[str, str],
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     oexprs = _order_exprs(order)
-    src_cols = list(values.values())
-    ranged = (df.repartitionByRange(n, *oexprs)
-                .sortWithinPartitions(*oexprs)
-                .withColumn("_pid", F.spark_partition_id()))
+    # The range partitioner samples its input in a job of its own; keeping
+    # the (already aggregated) input for the sample and the shuffle avoids
+    # computing it twice. MEMORY_AND_DISK: a lost block is recomputed.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *oexprs)
+                 .sortWithinPartitions(*oexprs)
+                 .withColumn("_pid", F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)
+    src.unpersist()
 
     loc_names = {out: f"_loc_{out}" for out in values}
     schema = T.StructType(ranged.schema.fields + [
