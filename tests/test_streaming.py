@@ -1,5 +1,7 @@
 """The streaming revenue aggregate equals the batch operator on the same rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import timeseries as TS
@@ -15,7 +17,7 @@ def test_stream_daily_revenue_matches_batch(spark):
     src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(SF)
     carts = src.select(F.col("ts").cast("timestamp").alias("date"), F.col("value").alias("total"),
                        F.col("user_id").alias("client"))
-    ck = ensure_checkpoint_dir(spark) + "/stream-test"
+    ck = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex[:12]}"
     q = run_to_memory(stream_revenue(carts, period="1 day", watermark="0 seconds"), "stream_rev", ck,
                       mode="complete")
     try:
