@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import contains_safe, pct, r2, r6, safe_div
+from ledgerlake.functions.columns import contains_safe, pct, quantiles, r2, r6, safe_div
 from ledgerlake.operators.common import ordered_cumsum
 from ledgerlake.sources.tables import ABANDONED_MARKER
 
@@ -36,14 +36,13 @@ def average_order_value(orders: DataFrame, total: str = "total") -> DataFrame:
 
 
 def order_value_distribution(orders: DataFrame, total: str = "total",
-                             exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                             exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """Min, Q1, median, Q3, max, mean, sample std (linear interpolation).
 
     ``exact=False`` switches the quartiles to ``percentile_approx`` for raw
     order tables too large for an exact value map in one final merge.
     """
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(total, qs) if exact else F.percentile_approx(total, qs, accuracy)
+    q = quantiles(total, (0.25, 0.5, 0.75), exact, accuracy)
     a = orders.agg(F.min(total).alias("min"), F.max(total).alias("max"),
                    F.avg(total).alias("mean"), F.stddev_samp(total).alias("std"),
                    q.alias("_q"))

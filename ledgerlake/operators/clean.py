@@ -11,7 +11,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import clean_amount, r6
+from ledgerlake.functions.columns import clean_amount, quantiles, r6
 
 # Fixed value: the default cut-off of old orders.
 DEFAULT_MIN_DATE = "2021-03-31"
@@ -139,7 +139,8 @@ def split_valid(df: DataFrame, rules: Sequence[tuple[str, F.Column]]) -> tuple[D
 
 
 def data_quality_score(df: DataFrame, required: Sequence[str], numeric: Sequence[str],
-                       dates: Sequence[str], now=None, min_date: str = "2020-01-01") -> DataFrame:
+                       dates: Sequence[str], now=None, min_date: str = "2020-01-01",
+                       exact: bool = True) -> DataFrame:
     """Quality checks as a long table (check, passed, n_bad) plus the
     overall row ``score`` = passed / total checks.
 
@@ -155,7 +156,7 @@ def data_quality_score(df: DataFrame, required: Sequence[str], numeric: Sequence
     req_rows = [(f"required:{c}", c in present) for c in required]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in numeric:
-        q = df.select(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))).scalar()
+        q = df.select(quantiles(c, (0.25, 0.75), exact)).scalar()
         iqr = q[1] - q[0]
         aggs += [F.count_if(F.col(c) < 0).alias(f"neg:{c}"),
                  F.count_if((F.col(c) < q[0] - 1.5 * iqr) | (F.col(c) > q[1] + 1.5 * iqr)).alias(f"outlier:{c}")]

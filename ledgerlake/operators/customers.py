@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import (month_start, pct, quartile_score, r2, r6, rnd, safe_div)
+from ledgerlake.functions.columns import (month_start, pct, quantiles, quartile_score, r2, r6, rnd,
+                                          safe_div)
 from ledgerlake.operators.common import ordered_cumsum
 from ledgerlake.operators.timeseries import client_months
 
 
 def _days_between(later, earlier):
     """Whole days elapsed (floor), like ``Timedelta.days`` for later >= earlier."""
-    return F.timestamp_diff("DAY", earlier, later) if hasattr(F, "timestamp_diff") else \
-        F.expr(f"timestampdiff(DAY, {earlier}, {later})")
+    return F.timestamp_diff("DAY", earlier, later)
 
 
 def _as_of(orders: DataFrame, date: str, as_of=None, plus_days: int = 1):
@@ -31,7 +31,7 @@ def _as_of(orders: DataFrame, date: str, as_of=None, plus_days: int = 1):
 
 
 def rfm(orders: DataFrame, client: str = "client", date: str = "date", total: str = "total",
-        as_of=None) -> DataFrame:
+        as_of=None, exact: bool = True) -> DataFrame:
     """Recency (days from the last order to as-of = max date + 1 day),
     Frequency (orders), Monetary (spend); quartile scores 1-4 (recency
     reversed) and the concatenated RFM score.
@@ -45,10 +45,11 @@ def rfm(orders: DataFrame, client: str = "client", date: str = "date", total: st
         F.max(date).alias("_last"), F.count(F.lit(1)).alias("frequency"),
         F.sum(total).alias("monetary"))
     per = per.withColumn("recency", _days_between(asof, F.col("_last")).cast("long"))
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     metrics = (("recency", True, "r"), ("frequency", False, "f"), ("monetary", False, "m"))
-    # One scalar subquery carries all nine quartile edges.
-    edges = per.select(F.struct(*[F.percentile(m, qs).alias(m) for m, _, _ in metrics])).scalar()
+    # One scalar subquery carries all nine quartile edges (``exact=False``:
+    # approximate edges for client tables too large for an exact buffer).
+    edges = per.select(F.struct(*[quantiles(m, (0.25, 0.5, 0.75), exact).alias(m)
+                                  for m, _, _ in metrics])).scalar()
     out = per
     for m, rev, letter in metrics:
         q = edges[m]
@@ -84,11 +85,11 @@ def customer_value_segments(orders: DataFrame, client: str = "client", total: st
                       _segment(share).alias("segment"))
 
 
-def segment_value_box(segments: DataFrame, value: str = "spend") -> DataFrame:
+def segment_value_box(segments: DataFrame, value: str = "spend", exact: bool = True) -> DataFrame:
     """Clients and spend quartiles per value segment (box-plot numbers)."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     g = segments.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"),
-                                        F.min(value).alias("min"), F.percentile(value, qs).alias("_q"),
+                                        F.min(value).alias("min"),
+                                        quantiles(value, (0.25, 0.5, 0.75), exact).alias("_q"),
                                         F.max(value).alias("max"))
     return g.select("segment", "customers", r6("min").alias("min"), r6(F.col("_q")[0]).alias("q1"),
                     r6(F.col("_q")[1]).alias("median"), r6(F.col("_q")[2]).alias("q3"),

@@ -106,11 +106,6 @@ def naive_forecast(panel: DataFrame, horizon: int = 6) -> DataFrame:
 _K = 4  # features: 1, t, sin, cos
 
 
-def _design(t, m):
-    a = 2 * math.pi * m / 12.0
-    return [1.0, t, math.sin(a), math.cos(a)]
-
-
 def _x_cols():
     t = F.col("_t")
     ang = F.lit(2 * math.pi / 12.0) * F.month(P)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import month_start, pct, period_start, r2, r6, rnd, safe_div
+from ledgerlake.functions.columns import pct, period_start, quantiles, r2, r6, rnd, safe_div
 from ledgerlake.operators.common import ordered_cumsum
 
 INF = float("inf")
@@ -246,7 +246,7 @@ def stock_recommendations(lines: DataFrame, inventory: DataFrame, lead_time_days
 
 def product_movement(lines: DataFrame, inventory: DataFrame, slow_mover_threshold: float = 1,
                      bestseller_threshold: float = 0.8, stock_coverage_days: int = 90,
-                     ref: str = "ref", qty: str = "qty", date: str = "date") -> DataFrame:
+                     ref: str = "ref", qty: str = "qty", date: str = "date", exact: bool = True) -> DataFrame:
     """Movement over the last ``stock_coverage_days`` (inclusive) of the
     latest date; full outer join with the inventory; best seller when units
     >= the (1 - threshold) quantile of units over all rows, then dead (0),
@@ -269,7 +269,7 @@ def product_movement(lines: DataFrame, inventory: DataFrame, slow_mover_threshol
     j = j.withColumn("days_of_stock", F.when(F.col("daily_sales_rate") > 0,
                                              F.col("stock_qty") / F.col("daily_sales_rate"))
                      .otherwise(F.lit(INF)))
-    cut = j.select(F.percentile("total_units_sold", 1 - bestseller_threshold)).scalar()
+    cut = j.select(quantiles("total_units_sold", (1 - bestseller_threshold,), exact)[0]).scalar()
     move = (F.when(F.col("total_units_sold") >= cut, "Best Seller")
              .when(F.col("total_units_sold") == 0, "Dead Stock")
              .when(F.col("avg_units_per_period") <= slow_mover_threshold, "Slow Mover")

@@ -109,12 +109,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_id: st
     return top.select(query_id, vec_id, r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _kpi_struct(kpis: DataFrame, metrics: Sequence[str]):
-    """All needed KPI values in one scalar subquery (a struct of metrics)."""
-    return kpis.select(F.struct(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
-                                  for m in metrics])).scalar()
-
-
 def _any_contains(text_col, words: Sequence[str]):
     c = F.lit(False)
     for w in words:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import basic as B
 from ledgerlake.operators import timeseries as TS
-from ledgerlake.plans.metrics import kpi_table
 from ledgerlake.plans.registry import register
 from ledgerlake.sources import files as S
 from ledgerlake.sources import tables as tb

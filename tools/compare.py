@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import duckdb  # noqa: E402
 
 from ledgerlake.plans.registry import ORACLES, QUERIES, load_all  # noqa: E402
-from ledgerlake.session import get_session  # noqa: E402
+
 from ledgerlake.sources.tables import TABLES  # noqa: E402
 
 
