@@ -40,8 +40,14 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     load_all()
-    from ledgerlake.session import local_session
-    spark = local_session(8)
+    import os
+    if os.environ.get("DRIVER_LIKE"):
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
+            .config("spark.driver.memory", "16g").getOrCreate()
+    else:
+        from ledgerlake.session import local_session
+        spark = local_session(8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
