@@ -43,30 +43,36 @@ def sig_digits(d: int) -> int:
     return 10 if d == 6 else 12
 
 
+def _scale_cases(d: int):
+    """(threshold, 10**-(places+3)-unit scale) pairs, largest threshold first:
+    a value with more integer digits keeps fewer decimal places."""
+    sig = sig_digits(d)
+    return [(float(10 ** i), float(10 ** (sig - i + 2))) for i in range(sig - 1, sig - d - 1, -1)]
+
+
 def rnd(c, d: int) -> Column:
     """Half-even rounding to ``d`` places (fewer for large magnitudes: at
     most ``sig_digits(d)`` significant digits remain).
 
-    Step 1 rounds to an integer count of 10**-(d+3) units, which absorbs the
-    last-bit noise of sums added up in a different order; step 2 applies
-    half-even to that integer with exact integer arithmetic. DuckDB's twin
-    (``plans.sqlkit.rnd``, which ``round_even`` in oracle SQL is rewritten
-    to) performs the same operations, so both engines return the same
-    double, including on exact ties. Values of 1e15 and above pass through.
+    Step 1 rounds to an integer count of 10**-(d+3) units (half away from
+    zero), which absorbs the last-bit noise of sums added up in a different
+    order; step 2 applies half-even to that count with exact arithmetic on
+    integer-valued doubles. DuckDB's twin (``plans.sqlkit.rnd``, which
+    ``round_even`` in oracle SQL is rewritten to) performs the same IEEE
+    operations, so both engines return the same double, including on exact
+    ties. Values of 1e15 and above pass through unchanged.
     """
-    sig = sig_digits(d)
     x = col_of(c).cast("double")
     ax = F.abs(x)
-    dd = F.lit(d)
-    for i in range(sig - d, sig):
-        dd = dd - F.when(ax >= F.lit(float(10 ** i)), 1).otherwise(0)
-    p = F.pow(F.lit(10.0), dd)
-    p3 = F.pow(F.lit(10.0), dd + 3)
-    n = F.round(F.least(F.greatest(x * p3, F.lit(-1e17)), F.lit(1e17))).cast("long")
-    r = F.pmod(n, F.lit(1000))
-    q = F.floor((n - r) / F.lit(1000))
-    adj = F.when(r > 500, 1).when(r < 500, 0).otherwise(F.pmod(q, F.lit(2)))
-    return F.when(ax < F.lit(1e15), (q + adj).cast("double") / p).otherwise(x)
+    p3 = F.lit(float(10 ** (d + 3)))
+    for lo, scale in reversed(_scale_cases(d)):
+        p3 = F.when(ax >= F.lit(lo), F.lit(scale)).otherwise(p3)
+    y = x * p3
+    n = F.signum(y) * F.floor(F.abs(y) + F.lit(0.5))
+    r = F.pmod(n, F.lit(1000.0))
+    q = (n - r) / F.lit(1000.0)
+    half = F.when(r > 500, 1.0).when(r < 500, 0.0).otherwise(F.pmod(q, F.lit(2.0)))
+    return F.when(ax < F.lit(1e15), (q + half) / (p3 / F.lit(1000.0))).otherwise(x)
 
 
 def r2(c) -> Column:

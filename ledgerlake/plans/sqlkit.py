@@ -12,18 +12,19 @@ def month(c: str = "date") -> str:
 
 
 def rnd(expr: str, d: int) -> str:
-    """DuckDB twin of ``functions.columns.rnd`` (same operations, same bits)."""
-    from ledgerlake.functions.columns import sig_digits
-    sig = sig_digits(d)
-    dd = f"({d}" + "".join(f" - CASE WHEN abs(v) >= CAST({10 ** i} AS DOUBLE) THEN 1 ELSE 0 END"
-                           for i in range(sig - d, sig)) + ")"
-    n = f"CAST(round(least(greatest(v * pow(10, {dd} + 3), -1e17), 1e17)) AS BIGINT)"
-    inner = ("list_transform([[n, ((n % 1000) + 1000) % 1000]], lambda t: "
-             "CAST((t[1] - t[2]) // 1000 + CASE WHEN t[2] > 500 THEN 1 WHEN t[2] < 500 THEN 0 "
-             "ELSE ((((t[1] - t[2]) // 1000) % 2) + 2) % 2 END AS DOUBLE))[1]")
-    body = f"list_transform([{n}], lambda n: {inner})[1] / pow(10, {dd})"
-    return (f"list_transform([CAST(({expr}) AS DOUBLE)], lambda v: "
-            f"CASE WHEN abs(v) < 1e15 THEN {body} ELSE v END)[1]")
+    """DuckDB twin of ``functions.columns.rnd`` (same IEEE operations, same bits)."""
+    from ledgerlake.functions.columns import _scale_cases
+    cases = " ".join(f"WHEN abs(v) >= CAST({lo!r} AS DOUBLE) THEN CAST({sc!r} AS DOUBLE)"
+                     for lo, sc in _scale_cases(d))
+    p3 = f"(CASE {cases} ELSE CAST({float(10 ** (d + 3))!r} AS DOUBLE) END)" if cases else \
+        f"CAST({float(10 ** (d + 3))!r} AS DOUBLE)"
+    n = "CAST(sign(v * p) AS DOUBLE) * floor(abs(v * p) + 0.5)"
+    body = ("list_transform([[n - (((n % 1000.0) + 1000.0) % 1000.0), ((n % 1000.0) + 1000.0) % 1000.0]], "
+            "lambda t: (t[1] / 1000.0 + CASE WHEN t[2] > 500 THEN 1.0 WHEN t[2] < 500 THEN 0.0 "
+            "ELSE (((t[1] / 1000.0) % 2.0) + 2.0) % 2.0 END) / (p / 1000.0))[1]")
+    return (f"list_transform([CAST(({expr}) AS DOUBLE)], lambda v: CASE WHEN abs(v) < 1e15 THEN "
+            f"list_transform([{p3}], lambda p: list_transform([{n}], lambda n: {body})[1])[1] "
+            f"ELSE v END)[1]")
 
 
 def _split_args(body: str) -> list[str]:
