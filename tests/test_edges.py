@@ -157,3 +157,21 @@ def test_running_share_segments_across_partitions(spark):
         running += 1000 - i
         assert r.cumsum_pct == pytest.approx(running / total * 100, abs=1e-6)
     assert seg[-1].segment == "Low-value" and seg[0].segment == "High-value"
+
+
+def test_ordered_cumsum_hot_value_splits_across_partitions(spark):
+    from ledgerlake.operators.common import ordered_cumsum
+    # a third of the rows share one value: ties are ordered by the key and
+    # spread over several range partitions, sums stay exact
+    rows = [(i, 5.0 if i % 3 == 0 else float(i % 17)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    out = ordered_cumsum(df.withColumn("one", F.lit(1.0)), [F.col("v").desc(), F.col("k").asc()],
+                         {"cum": "v", "rank": "one"}, partitions=16, grand_totals=True).collect()
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    expect, run = {}, 0.0
+    for pos, (k, v) in enumerate(ordered, 1):
+        run += v
+        expect[k] = (run, float(pos))
+    for r in out:
+        assert r.cum == pytest.approx(expect[r.k][0], abs=1e-6) and r.rank == expect[r.k][1]
+    assert {r.rank_grand for r in out} == {3000.0}
