@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +61,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever they run.
+
+    Spark's own file server hands the zipped sources to each executor, once
+    per application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerlake-src-")) / "ledgerlake.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "16g",
                   app: str = "ledgerlake") -> SparkSession:
     """Single-machine session for tests, benches and tools."""
