@@ -19,9 +19,9 @@ import numpy as np
 
 from ledgerlake.llm.textkit import runs, span_hashes, words
 
-TABLE = 2_000_000
-WORDS = 200_000
-BATCH_CHARS = 1 << 22
+TABLE = 1_000_000
+WORDS = 60_000
+BATCH_CHARS = 1 << 20
 _ENDS = frozenset(".,;:!?")
 
 

@@ -31,6 +31,12 @@ from ledgerlake.llm.token_count import byte_symbols
 BLOCK_IDS = 1 << 18
 
 
+def id_type(vocabulary: str) -> str:
+    """Little-endian width of an id on its way to the files: 2 bytes if all ids fit."""
+    size = max(encoder(vocabulary).whole.get_vocab(True).values(), default=0)
+    return "<u2" if size < 1 << 16 else "<u4"
+
+
 class IdEncoder:
     """The tokenizers library, asked once for each distinct word.
 
@@ -116,7 +122,7 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw[take]).view("<u4").ravel()[:n]
 
 
-def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[float]) -> DataFrame:
+def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[float], width: str) -> DataFrame:
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +130,7 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[
         for whole in batches:
             for i, j in slices(flat(whole.column(1))[1], BATCH_CHARS):
                 b = whole.slice(i, j - i)
-                ids = [x + tail for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+                ids = [np.frombuffer(x + tail, "<u4").astype(width).tobytes() for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
                 key = b.column(0).cast(pa.float64(), safe=False).fill_null(float("-inf")).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(np.searchsorted(bounds, key, "right").astype(np.int32)), pa.array(ids, pa.binary())],
@@ -145,12 +151,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, bucket int, ids binary, pos long")
 
 
-def _frequencies(rows: DataFrame) -> DataFrame:
+def _frequencies(rows: DataFrame, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                got = np.bincount(np.frombuffer(x.as_py(), "<u4"))
+                got = np.bincount(np.frombuffer(x.as_py(), width))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[:len(got)] += got
@@ -160,12 +166,14 @@ def _frequencies(rows: DataFrame) -> DataFrame:
     return rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(rows: DataFrame, ranks) -> DataFrame:
+def _blocks(rows: DataFrame, ranks, width: str) -> DataFrame:
     """Runs of consecutive documents of a bucket as coded blocks."""
+    wide = np.dtype(width).itemsize
+
     def block(bucket: int, first: int, ids: list, docs: list) -> dict:
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat = np.frombuffer(b"".join(ids), width)
         control, data = pack_ranks(ranks.value[flat])
-        return {"bucket": bucket, "first": first, "doc_id": docs, "n": [len(x) // 4 for x in ids], "control": control, "data": data}
+        return {"bucket": bucket, "first": first, "doc_id": docs, "n": [len(x) // wide for x in ids], "control": control, "data": data}
 
     schema = "bucket int, first long, doc_id array<long>, n array<int>, control binary, data binary"
     arrow = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("doc_id", pa.list_(pa.int64())),
@@ -182,7 +190,7 @@ def _blocks(rows: DataFrame, ranks) -> DataFrame:
                     bucket, first = k, p
                 ids.append(x)
                 docs.append(d)
-                size += len(x) // 4
+                size += len(x) // wide
         if ids:
             yield pa.RecordBatch.from_pylist([block(bucket, first, ids, docs)], arrow)
 
@@ -203,15 +211,16 @@ def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1) ->
     spark = docs.sparkSession
     n = partitions(spark)
     bounds = range_bounds(docs, "doc_id", n)
-    rows = _encoded(docs, vocabulary, end_id, bounds)
+    width = "<u4" if (end_id or 0) >= 1 << 16 else id_type(vocabulary)
+    rows = _encoded(docs, vocabulary, end_id, bounds, width)
     rows = _numbered(rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids"))
     rows = written(rows, "token-ids")
-    table = written(_frequencies(rows).select("id", F.row_number().over(
+    table = written(_frequencies(rows, width).select("id", F.row_number().over(
         Window.orderBy(F.desc("n"), F.asc("id"))).alias("place")), "token-ranks")
     of_id = {r["id"]: r["place"] - 1 for r in table.collect()}
     rank = np.zeros(max(of_id, default=0) + 1, np.uint32)
     rank[list(of_id)] = list(of_id.values())
-    return written(_blocks(rows, spark.sparkContext.broadcast(rank)), "token-blocks"), table
+    return written(_blocks(rows, spark.sparkContext.broadcast(rank), width), "token-blocks"), table
 
 
 def read_token_ids(blocks: DataFrame, table: DataFrame, keep_ids: bool = False) -> DataFrame:
