@@ -164,7 +164,7 @@ def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
                 keep = new[d] >= 0
                 parts.append(signature_rows(h[keep], new[d[keep]], cls[at], n[at]))
                 size += len(parts[-1]["sig"])
-                if size > 2_000_000:
+                if size > 800_000:
                     yield out(parts)
                     parts, size = [], 0
         if parts:
