@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.common import FILTER_BITS, bitmap, fresh, in_bitmap, partitions, written
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.textkit import flat, mix64, pack_buckets, runs, shingle_sets, slices, unpack
+from ledgerlake.llm.textkit import flat, mix64, pack_buckets, release, runs, shingle_sets, slices, unpack
 
 SHINGLE = 5
 FLEX = 16
@@ -169,6 +169,7 @@ def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
                     parts, size = [], 0
         if parts:
             yield out(parts)
+        release()
 
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
@@ -186,7 +187,11 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
         o = np.argsort(sig)
         first = runs(sig[o])
         many = np.diff(np.r_[first, len(o)]) > 1
-        o = o[np.repeat(many, np.diff(np.r_[first, len(o)]))]
+        o = np.sort(o[np.repeat(many, np.diff(np.r_[first, len(o)]))])
+        t = t.take(pa.array(o))  # the few that meet another row; the rest is let go
+        sig = sig[o]
+        release()
+        o = np.argsort(sig)
         sig, cls, what = sig[o], t.column("cls").to_numpy()[o], t.column("what").to_numpy()[o]
         p = np.lexsort((what, cls, sig))
         keep = p[runs(sig[p], cls[p], what[p])]  # copies of a class met in several batches count once
@@ -211,6 +216,8 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
             pa.array(sig[use].view(np.int64)), pa.array(cls[use]), rows.column("n").combine_chunks(), rows.column("seg").combine_chunks(),
             rows.column("units").combine_chunks(), pa.array(own[use]), pa.array(kind[use].astype(np.int32)), pa.array(c0[use]), pa.array(c1[use])],
             names=["sig", "cls", "n", "seg", "units", "own", "kind", "c0", "c1"])
+        del t, rows
+        release()
 
     return packed.repartitionById(buckets, F.col("bucket")).select("blob").mapInArrow(
         run, "sig long, cls long, n int, seg int, units int, own boolean, kind int, c0 long, c1 long")

@@ -151,6 +151,11 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def release() -> None:
+    """Hand Arrow's free memory back, so that an idle worker keeps little."""
+    pa.default_memory_pool().release_unused()
+
+
 def pack(batch: pa.RecordBatch) -> bytes:
     """A record batch as one compressed Arrow stream, the unit of a packed exchange."""
     sink = pa.BufferOutputStream()
