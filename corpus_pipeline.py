@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontaminate, mixing, ngram_join, quality, token_output
-from ledgerlake.llm.common import fresh, table, written
+from ledgerlake.llm.common import fresh, prepare, table, written
 from ledgerlake.llm.queries import vocabulary
-from ledgerlake.session import ship_package
 
 #: Tokenizer and classifier cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -23,7 +22,7 @@ LEAST_SCORE = 0.3
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier scores under 0.3."""
-    ship_package(spark)
+    prepare(spark)
     score = fresh(docs.columns, "score_")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, forest, score).where(F.col(score) >= LEAST_SCORE).select(*docs.columns)
@@ -32,13 +31,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that 5-word Jaccard links of 0.8 join: the least
     doc_id (of rows with one id, any one). Documents without words stay."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.keep_one_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold 80 % of a benchmark item's shingles."""
-    ship_package(spark)
+    prepare(spark)
     tag = fresh(docs.columns, "leak_")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), tag)
     return found.where(F.col(tag + "n_items") == 0).select(*docs.columns)
@@ -46,13 +45,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat, cut or leave documents as the mix of their sources takes them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token ids and describe each document from the files."""
-    ship_package(spark)
+    prepare(spark)
     return token_output.token_id_output(docs, vocabulary())
 
 

@@ -9,12 +9,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.session import ensure_checkpoint_dir, ship_package
 
 # A word: a maximal run outside blank, tab, newline, VT, FF, CR.
 NON_WORD = r"[\x20\x09-\x0D]+"
 
 
+#: Arrow batches between Spark and the Python workers hold at most this much.
+BATCH_ROWS, BATCH_LIMIT = 2_000, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What each query of this package needs of its session: the package on the
+    workers, and Arrow batches bounded in bytes (texts differ by orders of
+    magnitude). A batch size that the user has lowered further stays."""
+    ship_package(spark)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_LIMIT)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        now = int(now.rstrip("bB")) if now and now.rstrip("bB").lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

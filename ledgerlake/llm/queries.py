@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontaminate, fingerprint, mixing, ngram_join, oracles, quality, secrets, suffix_dedup, token_count, token_output, url_filter
-from ledgerlake.llm.common import table
-from ledgerlake.session import ship_package
+from ledgerlake.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +23,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
