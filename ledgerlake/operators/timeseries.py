@@ -90,9 +90,12 @@ def cohort_retention(orders: DataFrame, date: str = "date", client: str = "clien
                     r6(pct("customers", size)).alias("retention_pct"))
 
 
-def cohort_retention_wide(orders: DataFrame, max_index: int = 24, **kw) -> DataFrame:
-    """T6 pivoted: one column per cohort index 0..max_index (explicit list)."""
+def cohort_retention_wide(orders: DataFrame, max_index: int | None = None, **kw) -> DataFrame:
+    """T6 pivoted: one column per cohort index 0..max_index; by default up to the
+    largest index there is (one number, bounded by the months that the data span)."""
     long = cohort_retention(orders, **kw)
+    if max_index is None:
+        max_index = long.agg(F.max("cohort_index")).first()[0] or 0
     return long.groupBy("cohort").pivot("cohort_index", list(range(max_index + 1))) \
                .agg(F.first("retention_pct"))
 

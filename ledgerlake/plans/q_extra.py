@@ -61,7 +61,7 @@ def _j7(spark, sf):
 
 @register("cohort_retention_wide")
 def _t6w(spark, sf):
-    return TS.cohort_retention_wide(tb.orders(spark, sf), max_index=24)
+    return TS.cohort_retention_wide(tb.orders(spark, sf))
 
 
 @register("monthly_product_sales_wide")

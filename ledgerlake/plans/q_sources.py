@@ -105,7 +105,7 @@ SELECT page_id, CAST(card_ix AS INTEGER) AS card_ix, regexp_extract(card, '{NAV_
        regexp_extract(regexp_extract(card, '{NAV_CARD}', 1), '{NAV_ID}', 1) AS product_id
 FROM c""")
 def _s9(spark, sf):
-    return W.extract_listing(tb.read_table(spark, sf, "pages"), card_pattern=NAV_CARD, id_pattern=NAV_ID)
+    return W.extract_listing(tb.read_table(spark, sf, "pages"), card_pattern=NAV_CARD, title_pattern=NAV_CARD, id_pattern=NAV_ID)
 
 
 _FLAGS = f"""SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS listing,

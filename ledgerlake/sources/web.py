@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 # The shop's product-URL id pattern and price text markers.
 SHOP_ID_PATTERN = r"/accueil/(\d+)-"
-SHOP_CARD_PATTERN = (r'<article class="product-miniature[^"]*">.*?'
-                     r'<div class="cinqOct_productTitle"><a href="([^"]*)">([^<]*)</a></div>.*?</article>')
+# Fixed value: the name of a card without a title.
+MISSING_NAME = "N/A"
+SHOP_CARD_PATTERN = r'(?s)<article\b[^>]*\bproduct\b[^>]*>.*?</article>'
+SHOP_TITLE_PATTERN = r'(?s)<div class="[^"]*\btitle\b[^"]*">\s*<a\b[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 SHOP_PRICE_PATTERN = r'<span class="price">([^<]*)</span>'
-SHOP_NEXT_PATTERN = r'class="[^"]*cinqOct_pageListContainer[^"]*".*class="[^"]*\bnext\b'
+SHOP_NEXT_PATTERN = r'(?s)class="[^"]*\bpagination\b[^"]*".*class="[^"]*\bnext\b'
 
 
 def price_to_number(text_col):
@@ -23,16 +25,18 @@ def price_to_number(text_col):
     return s.try_cast("double")
 
 
-def extract_listing(pages: DataFrame, card_pattern: str = SHOP_CARD_PATTERN, link_group: int = 1,
-                    name_group: int = 2, price_pattern: str = SHOP_PRICE_PATTERN,
-                    id_pattern: str = SHOP_ID_PATTERN, html: str = "html") -> DataFrame:
-    """One row per product card of every page: name, link, price (null
-    when missing or unparsable) and the id taken from the link ('' when the
-    link does not match). No card is dropped."""
+def extract_listing(pages: DataFrame, card_pattern: str = SHOP_CARD_PATTERN, title_pattern: str = SHOP_TITLE_PATTERN,
+                    link_group: int = 1, name_group: int = 2, price_pattern: str = SHOP_PRICE_PATTERN,
+                    id_pattern: str = SHOP_ID_PATTERN, html: str = "html", missing_name: str = MISSING_NAME) -> DataFrame:
+    """One row per product card of every page: name (``missing_name`` when the
+    card has no title), link ('' then), price (null when missing or unparsable) and the id taken
+    from the link ('' when the link does not match). Pages are first cut into
+    cards, so a card without a title or a price never takes its neighbour's.
+    No card is dropped."""
     cards = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(card_pattern), F.lit(0)))
                          .alias("card_ix", "_card"))
-    link = F.regexp_extract("_card", card_pattern, link_group)
-    name = F.regexp_extract("_card", card_pattern, name_group)
+    link = F.regexp_extract("_card", title_pattern, link_group)
+    name = F.when(F.col("_card").rlike(title_pattern), F.regexp_extract("_card", title_pattern, name_group)).otherwise(F.lit(missing_name))
     price_txt = F.regexp_extract("_card", price_pattern, 1)
     return cards.select("page_id", "card_ix", name.alias("name"), link.alias("link"),
                         price_to_number(F.when(price_txt != "", price_txt)).alias("price"),

@@ -116,15 +116,38 @@ def test_baskets_one_item_and_repeated_items(spark):
 
 
 def test_listing_html(spark):
-    html = ('<article class="product-miniature js"><div class="cinqOct_productTitle">'
-            '<a href="https://x/en/accueil/880-flora-3666">Flora</a></div><span class="price">1,250.00 €</span></article>'
-            '<article class="product-miniature js"><div class="cinqOct_productTitle">'
-            '<a href="https://x/en/other">NoId</a></div></article>'
-            '<div class="cinqOct_pageListContainer"><a class="next" href="?p=2">Next</a></div>')
-    pages = spark.createDataFrame([(1, "https://x/en/list?page=1", html)], "page_id long, url string, html string")
+    html = ('<article class="product card">\n<div class="big title">\n'
+            '<a href="https://x/en/accueil/880-flora-3666">Flora</a></div>\n<span class="price">1,250.00 €</span></article>'
+            '<article class="product card"><span class="price">10.00 €</span></article>'
+            '<article class="product card"><div class="title"><a href="https://x/en/accueil/881-x">Five</a></div>'
+            '<span class="price">5.00 €</span></article>'
+            '<article class="product card"><div class="title"><a href="https://x/en/other">NoId</a></div></article>'
+            '<article class="news"><div class="title"><a href="https://x/n">News</a></div></article>'
+            '<div class="pagination">\n<a class="next" href="?p=2">Next</a></div>')
+    pages = spark.createDataFrame([(1, "https://x/en/list?page=1", html), (2, "https://x/en/list?page=2", "<p>end</p>"),
+                                   (3, None, None)], "page_id long, url string, html string")
     rows = W.extract_listing(pages).orderBy("card_ix").collect()
-    assert [(r.name, r.price, r.product_id) for r in rows] == [("Flora", 1250.0, "880"), ("NoId", None, "")]
-    assert W.has_next_page(pages).first().has_next
+    assert [(r.name, r.price, r.product_id) for r in rows] == [
+        ("Flora", 1250.0, "880"), ("N/A", 10.0, ""), ("Five", 5.0, "881"), ("NoId", None, "")]
+    flags = W.has_next_page(pages)
+    assert {r.page_id: r.has_next for r in flags.collect()} == {1: True, 2: False, 3: False}
+    assert {r.listing: r.last_page for r in W.last_pages(flags.where("url IS NOT NULL")).collect()} == {"https://x/en/list": 2}
+
+
+def test_no_local_checkpoint_folder_on_a_cluster(spark, monkeypatch):
+    from ledgerlake import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k, d=None: d)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session)
 
 
 @pytest.mark.parametrize("n,expected", [(0, 0), (499, 1), (500, 1), (501, 2), (1000, 2)])
