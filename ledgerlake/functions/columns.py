@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "safe_div", "pct", "rnd", "r2", "r6", "quantiles", "month_start", "period_start",
+    "col_of", "safe_div", "pct", "xsum", "xavg", "rnd", "r2", "r6", "quantiles", "month_start", "period_start",
     "period_step", "clean_amount", "contains_safe", "quartile_score", "PERIODS",
 ]
 
@@ -37,42 +37,28 @@ def pct(num, den) -> Column:
     return safe_div(num, den) * F.lit(100.0)
 
 
-def sig_digits(d: int) -> int:
-    """Significant digits kept by ``rnd(., d)``: 10 for 6-place ratios and
-    means, 12 otherwise (money to the cent below 10**10)."""
-    return 10 if d == 6 else 12
+def xsum(c) -> Column:
+    """Sum that does not depend on the order of addition: added as decimals
+    with 8 places, then turned into the nearest double. NaN and infinite
+    values are skipped, as null is."""
+    return F.sum(col_of(c).try_cast("decimal(38,8)")).cast("double")
 
 
-def _scale_cases(d: int):
-    """(threshold, 10**-(places+3)-unit scale) pairs, largest threshold first:
-    a value with more integer digits keeps fewer decimal places."""
-    sig = sig_digits(d)
-    return [(float(10 ** i), float(10 ** (sig - i + 2))) for i in range(sig - 1, sig - d - 1, -1)]
+def xavg(c) -> Column:
+    """Mean from ``xsum``: one division."""
+    return safe_div(xsum(c), F.count(col_of(c).try_cast("decimal(38,8)")))
 
 
 def rnd(c, d: int) -> Column:
-    """Half-even rounding to ``d`` places (fewer for large magnitudes: at
-    most ``sig_digits(d)`` significant digits remain).
-
-    Step 1 rounds to an integer count of 10**-(d+3) units (half away from
-    zero), which absorbs the last-bit noise of sums added up in a different
-    order; step 2 applies half-even to that count with exact arithmetic on
-    integer-valued doubles. DuckDB's twin (``plans.sqlkit.rnd``, which
-    ``round_even`` in oracle SQL is rewritten to) performs the same IEEE
-    operations, so both engines return the same double, including on exact
-    ties. Values of 1e15 and above pass through unchanged.
+    """Half-even rounding to ``d`` places, whatever the magnitude.
+
+    One ``rint`` between a multiplication and a division by 10**d: the same
+    IEEE operations as DuckDB's ``round_even`` on doubles, so the oracles use
+    that function as it is. Inputs must not depend on the order of addition:
+    sum with ``xsum`` and ``xavg``.
     """
-    x = col_of(c).cast("double")
-    ax = F.abs(x)
-    p3 = F.lit(float(10 ** (d + 3)))
-    for lo, scale in reversed(_scale_cases(d)):
-        p3 = F.when(ax >= F.lit(lo), F.lit(scale)).otherwise(p3)
-    y = x * p3
-    n = F.signum(y) * F.floor(F.abs(y) + F.lit(0.5))
-    r = F.pmod(n, F.lit(1000.0))
-    q = (n - r) / F.lit(1000.0)
-    half = F.when(r > 500, 1.0).when(r < 500, 0.0).otherwise(F.pmod(q, F.lit(2.0)))
-    return F.when(ax < F.lit(1e15), (q + half) / (p3 / F.lit(1000.0))).otherwise(x)
+    p = F.lit(float(10 ** d))
+    return F.rint(col_of(c).cast("double") * p) / p
 
 
 def r2(c) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import contains_safe, pct, quantiles, r2, r6, safe_div
+from ledgerlake.functions.columns import contains_safe, pct, quantiles, r2, r6, safe_div, xavg, xsum
 from ledgerlake.operators.common import ordered_cumsum
 from ledgerlake.sources.tables import ABANDONED_MARKER
 
@@ -22,7 +22,7 @@ def basic_kpis(orders: DataFrame, total: str = "total", client: str = "client")
     """B1: total_orders (all rows), total_revenue, unique_customers (non-null),
     avg_orders_per_customer (0 when no customer)."""
     a = orders.agg(F.count(F.lit(1)).alias("total_orders"),
-                   F.sum(total).alias("total_revenue"),
+                   xsum(total).alias("total_revenue"),
                    F.countDistinct(client).alias("unique_customers"))
     return a.select("total_orders", r2("total_revenue").alias("total_revenue"),
                     "unique_customers",
@@ -32,7 +32,7 @@ def basic_kpis(orders: DataFrame, total: str = "total", client: str = "client")
 
 def average_order_value(orders: DataFrame, total: str = "total") -> DataFrame:
     """B2: mean of non-null totals."""
-    return orders.agg(r6(F.avg(total)).alias("aov"))
+    return orders.agg(r6(xavg(total)).alias("aov"))
 
 
 def order_value_distribution(orders: DataFrame, total: str = "total",
@@ -44,7 +44,7 @@ def order_value_distribution(orders: DataFrame, total: str = "total",
     """
     q = quantiles(total, (0.25, 0.5, 0.75), exact, accuracy)
     a = orders.agg(F.min(total).alias("min"), F.max(total).alias("max"),
-                   F.avg(total).alias("mean"), F.stddev_samp(total).alias("std"),
+                   xavg(total).alias("mean"), F.stddev_samp(total).alias("std"),
                    q.alias("_q"))
     return a.select(r6("min").alias("min"), r6(F.col("_q")[0]).alias("q1"),
                     r6(F.col("_q")[1]).alias("median"), r6(F.col("_q")[2]).alias("q3"),
@@ -83,7 +83,7 @@ def order_state_breakdown(orders: DataFrame, state: str = "state", total: str =
     Totals include rows whose state is null (they are dropped from the groups
     only), so they are summed over every group before the null group is removed.
     """
-    g = orders.groupBy(state).agg(F.sum(total).alias("total_revenue"),
+    g = orders.groupBy(state).agg(xsum(total).alias("total_revenue"),
                                   F.count(total).alias("order_count"),
                                   F.count(F.lit(1)).alias("_rows"))
     g = g.withColumn("_all_rows", F.sum("_rows").over(Window.partitionBy())) \
@@ -109,9 +109,9 @@ def abandoned_cart_values(carts: DataFrame, cart_id: str = "order_ref", total: s
     """Mean, median, sum and describe() of abandoned cart totals."""
     ab = carts.where(F.col(cart_id) == marker)
     qs = F.percentile(total, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = ab.agg(F.count(total).alias("count"), F.avg(total).alias("mean"),
+    a = ab.agg(F.count(total).alias("count"), xavg(total).alias("mean"),
                F.stddev_samp(total).alias("std"), F.min(total).alias("min"),
-               qs.alias("_q"), F.max(total).alias("max"), F.sum(total).alias("total_lost_value"))
+               qs.alias("_q"), F.max(total).alias("max"), xsum(total).alias("total_lost_value"))
     return a.select("count", r6("mean").alias("average_cart_value"),
                     r6(F.col("_q")[1]).alias("median_cart_value"),
                     r2("total_lost_value").alias("total_lost_value"), r6("std").alias("std"),
@@ -149,7 +149,7 @@ def revenue_concentration(orders: DataFrame, total: str = "total", key: str = "i
     ranked = ordered_cumsum(base, [F.col(total).desc_nulls_last(), F.col(key).asc()],
                             {"_rank": "_one"}, partitions=partitions, grand_totals=True)
     k = F.floor(F.col("_rank_grand") * F.lit(share))
-    a = ranked.agg(F.max(k).cast("long").alias("k"), F.sum(total).alias("rev"),
+    a = ranked.agg(F.max(k).cast("long").alias("k"), xsum(total).alias("rev"),
                    F.sum(F.when(F.col("_rank") <= k, F.col(total))).alias("top_rev"))
     top_rev = F.when(F.col("k") > 0, F.coalesce(F.col("top_rev"), F.lit(0.0))).otherwise(F.lit(0.0))
     conc = F.when(F.col("rev") > 0, pct(top_rev, F.col("rev"))).otherwise(F.lit(0.0))
@@ -161,7 +161,7 @@ def revenue_concentration(orders: DataFrame, total: str = "total", key: str = "i
 def payment_method_stats(orders: DataFrame, payment: str = "payment", total: str = "total") -> DataFrame:
     """Revenue, mean and non-null count per payment method, revenue desc."""
     g = orders.where(F.col(payment).isNotNull()).groupBy(payment).agg(
-        F.sum(total).alias("total_revenue"), F.avg(total).alias("avg_order_value"),
+        xsum(total).alias("total_revenue"), xavg(total).alias("avg_order_value"),
         F.count(total).alias("order_count"))
     return g.select(payment, r2("total_revenue").alias("total_revenue"),
                     r6("avg_order_value").alias("avg_order_value"), "order_count") \
@@ -177,7 +177,7 @@ def country_stats(orders: DataFrame, country: str = "country", total: str = "tot
     Expand that a distinct aggregate beside normal ones would plan.
     """
     per = orders.where(F.col(country).isNotNull()).groupBy(country, client).agg(
-        F.sum(total).alias("_s"), F.count(total).alias("_c"))
+        xsum(total).alias("_s"), F.count(total).alias("_c"))
     g = per.groupBy(country).agg(F.sum("_s").alias("total_revenue"), F.sum("_c").alias("order_count"),
                                  F.count(client).alias("unique_customers"))
     return g.select(country, r2("total_revenue").alias("total_revenue"),
@@ -188,7 +188,7 @@ def country_stats(orders: DataFrame, country: str = "country", total: str = "tot
 def top_countries(orders: DataFrame, n: int = 10, country: str = "country",
                   total: str = "total") -> DataFrame:
     """The n countries with the most revenue (TakeOrderedAndProject)."""
-    g = orders.where(F.col(country).isNotNull()).groupBy(country).agg(F.sum(total).alias("total_revenue"))
+    g = orders.where(F.col(country).isNotNull()).groupBy(country).agg(xsum(total).alias("total_revenue"))
     return g.orderBy(F.desc("total_revenue"), country).limit(n) \
             .select(country, r2("total_revenue").alias("total_revenue"))
 
@@ -198,7 +198,7 @@ def refund_cancellation(orders: DataFrame, state: str = "state", total: str = "t
     """Refund and cancellation rates (of all rows), lost revenue and its share."""
     is_ref = contains_safe(state, refund_state)
     is_can = contains_safe(state, cancel_state)
-    a = orders.agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("rev"),
+    a = orders.agg(F.count(F.lit(1)).alias("n"), xsum(total).alias("rev"),
                    F.count_if(is_ref).alias("refunds"), F.count_if(is_can).alias("cancellations"),
                    F.sum(F.when(is_ref, F.col(total))).alias("lost_ref"),
                    F.sum(F.when(is_can, F.col(total))).alias("lost_can"))
@@ -239,7 +239,7 @@ def top_clients(orders: DataFrame, n: int = 10, client: str = "client",
     """Top n clients by order count and top n by revenue; the average
     value is revenue / count where a client is in both lists."""
     per = orders.where(F.col(client).isNotNull()).groupBy(client).agg(
-        F.count(F.lit(1)).alias("order_count"), F.sum(total).alias("total_revenue"))
+        F.count(F.lit(1)).alias("order_count"), xsum(total).alias("total_revenue"))
     by_count = per.orderBy(F.desc("order_count"), client).limit(n) \
                   .select(client, F.col("order_count").alias("top_count"))
     by_rev = per.orderBy(F.desc("total_revenue"), client).limit(n) \
@@ -259,5 +259,5 @@ def top_client_timeline(orders: DataFrame, n: int = 10, client: str = "client",
 
 def revenue_per_customer(orders: DataFrame, total: str = "total", client: str = "client") -> DataFrame:
     """Revenue / unique customers."""
-    a = orders.agg(F.sum(total).alias("_r"), F.countDistinct(client).alias("_u"))
+    a = orders.agg(xsum(total).alias("_r"), F.countDistinct(client).alias("_u"))
     return a.select(r6(safe_div("_r", "_u")).alias("revenue_per_customer"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import (month_start, pct, quantiles, quartile_score, r2, r6, rnd,
-                                          safe_div)
+                                          safe_div, xavg, xsum)
 from ledgerlake.operators.common import ordered_cumsum
 from ledgerlake.operators.timeseries import client_months
 
@@ -43,7 +43,7 @@ def rfm(orders: DataFrame, client: str = "client", date: str = "date", total: st
     asof = _as_of(orders, date, as_of)
     per = orders.where(F.col(client).isNotNull()).groupBy(client).agg(
         F.max(date).alias("_last"), F.count(F.lit(1)).alias("frequency"),
-        F.sum(total).alias("monetary"))
+        xsum(total).alias("monetary"))
     per = per.withColumn("recency", _days_between(asof, F.col("_last")).cast("long"))
     metrics = (("recency", True, "r"), ("frequency", False, "f"), ("monetary", False, "m"))
     # One scalar subquery carries all nine quartile edges (``exact=False``:
@@ -77,7 +77,7 @@ def customer_value_segments(orders: DataFrame, client: str = "client", total: st
     compared on the share rounded to 9 digits so summation order cannot flip
     a client at an edge.
     """
-    per = orders.where(F.col(client).isNotNull()).groupBy(client).agg(F.sum(total).alias("spend"))
+    per = orders.where(F.col(client).isNotNull()).groupBy(client).agg(xsum(total).alias("spend"))
     cum = ordered_cumsum(per, [F.col("spend").desc_nulls_last(), F.col(client).asc()],
                          {"_cum": "spend"}, partitions=partitions, grand_totals=True)
     share = pct("_cum", "_cum_grand")
@@ -112,7 +112,7 @@ def clv_profit(lines: DataFrame, client: str = "client", cost: str = "factory_pr
 def clv_revenue(orders: DataFrame, client: str = "client", total: str = "total",
                 months: int = 12) -> DataFrame:
     """AOV x mean orders per non-null client x months."""
-    a = orders.agg(F.avg(total).alias("_aov"), F.count(client).alias("_rows"),
+    a = orders.agg(xavg(total).alias("_aov"), F.count(client).alias("_rows"),
                    F.countDistinct(client).alias("_u"))
     return a.select(r6(F.col("_aov") * safe_div("_rows", "_u") * F.lit(months)).alias("clv"))
 
@@ -120,14 +120,14 @@ def clv_revenue(orders: DataFrame, client: str = "client", total: str = "total",
 def clv_refined(orders: DataFrame, client: str = "client", total: str = "total",
                 months: int = 12) -> DataFrame:
     """AOV x (all orders / unique customers) x months."""
-    a = orders.agg(F.avg(total).alias("_aov"), F.count(F.lit(1)).alias("_n"),
+    a = orders.agg(xavg(total).alias("_aov"), F.count(F.lit(1)).alias("_n"),
                    F.countDistinct(client).alias("_u"))
     return a.select(r6(F.col("_aov") * safe_div("_n", "_u") * F.lit(months)).alias("clv"))
 
 
 def _per_client_behavior(orders, client, total, state, cancel_state):
     per = orders.where(F.col(client).isNotNull()).groupBy(client).agg(
-        F.sum(total).alias("total_revenue"), F.count(F.lit(1)).alias("order_count"),
+        xsum(total).alias("total_revenue"), F.count(F.lit(1)).alias("order_count"),
         F.count_if(F.col(state) == cancel_state).alias("cancelled_orders"))
     return per.withColumn("customer_type",
                           F.when(F.col("order_count") > 1, "repeat").otherwise("one_time"))

@@ -41,9 +41,9 @@ def _w(series: str = S, period: str = P):
     return Window.partitionBy(series).orderBy(period)
 
 
-def complete_panel(long: DataFrame, series: str, period: str, value: str, drop_last: bool = True) -> DataFrame:
+def complete_panel(long: DataFrame, series: str, period: str, value: str, drop_last: bool = False) -> DataFrame:
     """Monthly panel: every series from its first month to the last month of
-    the data (the last, usually partial, month dropped when ``drop_last``),
+    the data (one that the caller knows to be partial goes with ``drop_last``),
     missing months 0 with ``observed`` = false. Each series expands its own
     calendar (``sequence`` per row), so no series x month cross product."""
     d = long.select(F.col(series).alias(S), F.to_date(F.date_trunc("MONTH", F.col(period))).alias(P),
@@ -77,22 +77,33 @@ def lag_features(panel: DataFrame, lags: int = 12, horizon: int = 1, external: D
     return f.dropna()
 
 
-def calendar_features(panel: DataFrame) -> DataFrame:
+def calendar_features(panel: DataFrame, places: int = 2) -> DataFrame:
     """year, month, quarter, day of year, lags 1/2/3/6/12 and rolling mean
     and sample std over 3/6/12 periods including the current one (null until
-    the window is full)."""
+    the window is full).
+
+    The rolling figures come from integer sums of ``y`` and of its square in
+    units of 10**-``places`` (cents), so they do not depend on the order of
+    addition; one division, resp. one square root, ends each.
+    """
     w = _w()
     out = [F.year(P).alias("year"), F.month(P).alias("month"), F.quarter(P).alias("quarter"),
            F.dayofyear(P).alias("dayofyear")]
     out += [F.lag(Y, k).over(w).alias(f"lag_{k}") for k in (1, 2, 3, 6, 12)]
-    rolled = []
+    unit = float(10 ** places)
+    cents = panel.withColumn("_c", F.rint(F.col(Y) * F.lit(unit)).cast("decimal(18,0)"))
+    rolled = {}
     for k in (3, 6, 12):
         fr = w.rowsBetween(-(k - 1), 0)
-        full = F.count(Y).over(fr) == k
-        out += [F.when(full, F.avg(Y).over(fr)).alias(f"rolling_mean_{k}"),
-                F.when(full, F.stddev_samp(Y).over(fr)).alias(f"rolling_std_{k}")]
-        rolled += [f"rolling_mean_{k}", f"rolling_std_{k}"]
-    return panel.select(S, P, Y, *out).withColumns({c: r6(c) for c in rolled})
+        out += [F.count(Y).over(fr).alias(f"_n{k}"), F.sum("_c").over(fr).alias(f"_s{k}"),
+                F.sum(F.col("_c") * F.col("_c")).over(fr).alias(f"_q{k}")]
+        full = F.col(f"_n{k}") == k
+        s1, s2 = F.col(f"_s{k}").cast("decimal(19,0)"), F.col(f"_q{k}").cast("decimal(36,0)")
+        var = (s2 * F.lit(k) - s1 * s1).cast("double") / F.lit(float(k * (k - 1)))
+        rolled[f"rolling_mean_{k}"] = r6(F.when(full, s1.cast("double") / F.lit(k * unit)))
+        rolled[f"rolling_std_{k}"] = r6(F.when(full, F.sqrt(var) / F.lit(unit)))
+    return cents.select(S, P, Y, "_c", *out).withColumns(rolled) \
+                .drop("_c", *[f"_{x}{k}" for x in "nsq" for k in (3, 6, 12)])
 
 
 def naive_forecast(panel: DataFrame, horizon: int = 6) -> DataFrame:
@@ -377,8 +388,7 @@ def multi_metric_forecast(monthly: DataFrame, metrics: Sequence[str], horizon: i
     ``{metric}_yhat``, ``_lower`` and ``_upper`` columns (explicit pivot list)."""
     long = monthly.select("period", *[F.col(m).cast("double").alias(m) for m in metrics]) \
                   .unpivot(["period"], list(metrics), S, Y).where(F.col(Y).isNotNull())
-    mx = long.select(F.max("period")).scalar()
-    panel = long.where(F.col("period") < mx).select(S, F.col("period").alias(P), Y)
+    panel = long.select(S, F.col("period").alias(P), Y)
     fc = seasonal_trend_forecast(panel, horizon, min_points)
     wide = fc.groupBy(P).pivot(S, list(metrics)).agg(F.first("yhat").alias("yhat"),
                                                      F.first("yhat_lower").alias("lower"),

@@ -11,12 +11,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import month_start, pct, r2, r6, safe_div
+from ledgerlake.functions.columns import month_start, pct, r2, r6, safe_div, xsum
 
 
 def _product_sales(items: DataFrame, product: str, qty: str, price: str) -> DataFrame:
     return items.where(F.col(product).isNotNull()).groupBy(product).agg(
-        F.sum(qty).alias("total_units_sold"), F.sum(price).alias("total_revenue"))
+        F.sum(qty).alias("total_units_sold"), xsum(price).alias("total_revenue"))
 
 
 def top_products(items: DataFrame, top_n: int = 10, by: str = "revenue", product: str = "product",
@@ -31,8 +31,8 @@ def top_products(items: DataFrame, top_n: int = 10, by: str = "revenue", product
 
 def product_revenue_share(items: DataFrame, product: str = "product", price: str = "line_price") -> DataFrame:
     """R2: revenue per product and its % of all revenue (scalar-subquery total)."""
-    total = items.select(F.sum(price)).scalar()
-    g = items.where(F.col(product).isNotNull()).groupBy(product).agg(F.sum(price).alias("revenue"))
+    total = items.select(xsum(price)).scalar()
+    g = items.where(F.col(product).isNotNull()).groupBy(product).agg(xsum(price).alias("revenue"))
     return g.select(product, r2("revenue").alias("revenue"),
                     r6(pct(F.col("revenue"), total)).alias("revenue_share_pct"))
 
@@ -67,7 +67,7 @@ def monthly_product_sales(items: DataFrame, product: str = "product", qty: str =
     """R5 (long form, the contract): units and revenue per observed (month, product)."""
     g = items.where(F.col(product).isNotNull() & F.col(date).isNotNull()) \
              .groupBy(month_start(date).alias("month"), product) \
-             .agg(F.sum(qty).alias("units"), F.sum(price).alias("revenue"))
+             .agg(F.sum(qty).alias("units"), xsum(price).alias("revenue"))
     return g.select("month", product, r6("units").alias("units"), r2("revenue").alias("revenue"))
 
 

@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import r2, r6
+from ledgerlake.functions.columns import r2, r6, xavg, xsum
 from ledgerlake.operators.common import top_per_group
 
 # Routing keywords and answer phrases of the shop's question router.
@@ -160,7 +160,7 @@ def table_cell_aggregate(table: DataFrame, column: str, agg: str = "sum", where=
     if agg == "none":
         return t.select(cell.alias("answer"))
     a = t.agg(F.count(F.lit(1)).alias("cells"), F.count_if(num.isNull()).alias("_bad"),
-              F.sum(num).alias("_s"), F.avg(num).alias("_a"))
+              xsum(num).alias("_s"), xavg(num).alias("_a"))
     val = {"sum": F.col("_s"), "average": F.col("_a"), "count": F.col("cells").cast("double")}[agg]
     ok = (F.col("_bad") == 0) | F.lit(agg == "count")
     return a.select("cells", r6(F.when(ok, val)).alias("answer_value"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import (contains_safe, month_start, period_start, pct, r2, r6,
-                                          safe_div)
+                                          safe_div, xsum)
 from ledgerlake.operators.common import fill_spine, period_spine
 
 
@@ -26,7 +26,7 @@ def revenue_over_time(orders: DataFrame, freq: str = "M", date: str = "date",
                       total: str = "total") -> DataFrame:
     """Revenue per period (D/W/M/Q/Y), empty periods = 0."""
     g = _dated(orders, date).groupBy(period_start(date, freq).alias("period")) \
-        .agg(F.sum(total).alias("revenue"))
+        .agg(xsum(total).alias("revenue"))
     out = fill_spine(g, "period", freq, zero_cols=["revenue"])
     return out.select("period", r2("revenue").alias("revenue"))
 
@@ -61,7 +61,7 @@ def aov_over_time(orders: DataFrame, date: str = "date", total: str = "total",
                   ref: str = "reference") -> DataFrame:
     """T5: monthly revenue / monthly orders; null when a month has no order."""
     g = _dated(orders, date).groupBy(month_start(date).alias("period")) \
-        .agg(F.sum(total).alias("revenue"), F.count(ref).alias("orders"))
+        .agg(xsum(total).alias("revenue"), F.count(ref).alias("orders"))
     s = fill_spine(g, "period", "M", zero_cols=["revenue", "orders"])
     return s.select("period", r6(safe_div("revenue", "orders")).alias("aov"))
 
@@ -106,7 +106,7 @@ def net_revenue_retention(orders: DataFrame, date: str = "date", client: str = "
     in the month / cohort revenue in its start month * 100; cohorts with zero
     start revenue are skipped."""
     o = orders.where(F.col(client).isNotNull() & F.col(date).isNotNull())
-    per = o.groupBy(client, month_start(date).alias("month")).agg(F.sum(total).alias("_rev"))
+    per = o.groupBy(client, month_start(date).alias("month")).agg(xsum(total).alias("_rev"))
     per = per.withColumn("cohort", F.min("month").over(Window.partitionBy(client)))
     g = per.groupBy("cohort", "month").agg(F.sum("_rev").alias("revenue"))
     start = F.sum(F.when(F.col("month") == F.col("cohort"), F.col("revenue"))).over(
@@ -121,13 +121,13 @@ def net_revenue_retention(orders: DataFrame, date: str = "date", client: str = "
 def day_of_week_revenue(orders: DataFrame, date: str = "date", total: str = "total") -> DataFrame:
     """Revenue by English weekday name, largest first."""
     g = _dated(orders, date).groupBy(F.date_format(date, "EEEE").alias("day_of_week")) \
-        .agg(F.sum(total).alias("revenue"))
+        .agg(xsum(total).alias("revenue"))
     return g.select("day_of_week", r2("revenue").alias("revenue")).orderBy(F.desc("revenue"))
 
 
 def hour_of_day_revenue(df: DataFrame, date: str = "date", total: str = "total") -> DataFrame:
     """Revenue by hour of day, largest first."""
-    g = _dated(df, date).groupBy(F.hour(date).alias("hour")).agg(F.sum(total).alias("revenue"))
+    g = _dated(df, date).groupBy(F.hour(date).alias("hour")).agg(xsum(total).alias("revenue"))
     return g.select("hour", r2("revenue").alias("revenue")).orderBy(F.desc("revenue"))
 
 
@@ -135,7 +135,7 @@ def year_over_year(orders: DataFrame, date: str = "date", total: str = "total")
     """Per year revenue, orders (all rows), AOV, each with % growth; empty
     years in between are kept with zeros."""
     g = _dated(orders, date).groupBy(period_start(date, "Y").alias("period")).agg(
-        F.sum(total).alias("total_revenue"), F.count(F.lit(1)).alias("total_orders"))
+        xsum(total).alias("total_revenue"), F.count(F.lit(1)).alias("total_orders"))
     s = fill_spine(g, "period", "Y", zero_cols=["total_revenue", "total_orders"])
     s = s.withColumn("yearly_aov", safe_div("total_revenue", "total_orders"))
     w = Window.orderBy("period")
@@ -172,7 +172,7 @@ def monthly_top_by(orders: DataFrame, key: str, date: str = "date", total: str =
     """Per observed month the ``key`` value with the most revenue;
     ties go to the smallest value (pandas ``idxmax`` keeps the first)."""
     g = orders.where(F.col(key).isNotNull() & F.col(date).isNotNull()) \
-              .groupBy(month_start(date).alias("period"), key).agg(F.sum(total).alias("_rev"))
+              .groupBy(month_start(date).alias("period"), key).agg(xsum(total).alias("_rev"))
     w = Window.partitionBy("period").orderBy(F.desc("_rev"), F.asc(key))
     top = g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
     return top.select("period", F.col(key).alias(out or f"top_{key}"),

@@ -19,7 +19,7 @@ MONTHLY_KPIS = ["revenue", "orders", "unique_customers", "aov", "new_customers",
 
 
 def product_panel(spark, sf):
-    """Product x month revenue (cents), each series to the last full month."""
+    """Product x month revenue (cents), each series to the last month of the data."""
     return FC.complete_panel(R.monthly_product_sales(tb.order_items(spark, sf)), "product", "month", "revenue")
 
 
@@ -31,7 +31,7 @@ def country_panel(spark, sf):
 
 _PANEL = f"""d AS (SELECT product AS series_id, {month()} AS period, round_even(sum(line_price), 2) AS y
        FROM items_v WHERE product IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2),
-e AS (SELECT CAST(max(period) - INTERVAL 1 MONTH AS DATE) AS hi FROM d),
+e AS (SELECT max(period) AS hi FROM d),
 lo AS (SELECT series_id, min(period) AS lo FROM d GROUP BY 1),
 sp AS (SELECT series_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)
          AS period FROM lo, e WHERE lo <= hi),
@@ -64,8 +64,11 @@ def _f1(spark, sf):
 
 def _roll(k):
     fr = f"(w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
-    return (f"round_even(CASE WHEN count(y) OVER {fr} = {k} THEN avg(y) OVER {fr} END, 6) AS rolling_mean_{k}, "
-            f"round_even(CASE WHEN count(y) OVER {fr} = {k} THEN stddev_samp(y) OVER {fr} END, 6) AS rolling_std_{k}")
+    c = "CAST(round(y * 100) AS HUGEINT)"
+    full = f"CASE WHEN count(y) OVER {fr} = {k} THEN"
+    return (f"round_even({full} CAST(sum({c}) OVER {fr} AS DOUBLE) / {k * 100}.0 END, 6) AS rolling_mean_{k}, "
+            f"round_even({full} sqrt(CAST({k} * sum({c} * {c}) OVER {fr} - sum({c}) OVER {fr} * sum({c}) OVER {fr} "
+            f"AS DOUBLE) / {k * (k - 1)}.0) / 100.0 END, 6) AS rolling_std_{k}")
 
 
 @register("calendar_features", V(f"""

@@ -73,9 +73,8 @@ def _pairs_sql() -> str:
 
 
 def _attach_text_oracles() -> None:
-    from ledgerlake.plans.sqlkit import rewrite_rounding
-    ORACLES["answer_metric_questions"] = rewrite_rounding(_answer_sql())
-    ORACLES["instruction_pairs"] = rewrite_rounding(_pairs_sql())
+    ORACLES["answer_metric_questions"] = _answer_sql()
+    ORACLES["instruction_pairs"] = _pairs_sql()
 
 
 @register("monthly_metrics", V(f"""

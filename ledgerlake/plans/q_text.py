@@ -89,7 +89,7 @@ def _x5(spark, sf):
 @register("table_cell_aggregate", tb.with_views("""
 WITH cs AS (SELECT country, round_even(sum(total), 2) AS total_revenue FROM orders_c WHERE country IS NOT NULL
             GROUP BY country)
-SELECT count(*) AS cells, round_even(sum(total_revenue), 6) AS answer_value, 'sum' AS aggregation FROM cs""",
+SELECT count(*) AS cells, CAST(sum(CAST(total_revenue AS DECIMAL(38, 2))) AS DOUBLE) AS answer_value, 'sum' AS aggregation FROM cs""",
                                                 "orders_c"))
 def _x6(spark, sf):
     return X.table_cell_aggregate(B.country_stats(tb.orders(spark, sf, with_country=True)), "total_revenue", "sum")

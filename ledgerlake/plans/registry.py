@@ -22,8 +22,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            from ledgerlake.plans.sqlkit import rewrite_rounding
-            ORACLES[name] = rewrite_rounding(sql)
+            ORACLES[name] = sql
         return fn
     return deco
 

@@ -9,60 +9,3 @@ def spine(src: str, col: str = "period", step: str = "1 MONTH") -> str:
 
 def month(c: str = "date") -> str:
     return f"CAST(date_trunc('month', {c}) AS DATE)"
-
-
-def rnd(expr: str, d: int) -> str:
-    """DuckDB twin of ``functions.columns.rnd`` (same IEEE operations, same bits)."""
-    from ledgerlake.functions.columns import _scale_cases
-    cases = " ".join(f"WHEN abs(v) >= CAST({lo!r} AS DOUBLE) THEN CAST({sc!r} AS DOUBLE)"
-                     for lo, sc in _scale_cases(d))
-    p3 = f"(CASE {cases} ELSE CAST({float(10 ** (d + 3))!r} AS DOUBLE) END)" if cases else \
-        f"CAST({float(10 ** (d + 3))!r} AS DOUBLE)"
-    n = "CAST(sign(v * p) AS DOUBLE) * floor(abs(v * p) + 0.5)"
-    body = ("list_transform([[n - (((n % 1000.0) + 1000.0) % 1000.0), ((n % 1000.0) + 1000.0) % 1000.0]], "
-            "lambda t: (t[1] / 1000.0 + CASE WHEN t[2] > 500 THEN 1.0 WHEN t[2] < 500 THEN 0.0 "
-            "ELSE (((t[1] / 1000.0) % 2.0) + 2.0) % 2.0 END) / (p / 1000.0))[1]")
-    return (f"list_transform([CAST(({expr}) AS DOUBLE)], lambda v: CASE WHEN abs(v) < 1e15 THEN "
-            f"list_transform([{p3}], lambda p: list_transform([{n}], lambda n: {body})[1])[1] "
-            f"ELSE v END)[1]")
-
-
-def _split_args(body: str) -> list[str]:
-    depth, parts, cur, quote = 0, [], [], False
-    for ch in body:
-        if ch == "'" :
-            quote = not quote
-        if not quote:
-            if ch in "([":
-                depth += 1
-            elif ch in ")]":
-                depth -= 1
-            elif ch == "," and depth == 0:
-                parts.append("".join(cur))
-                cur = []
-                continue
-        cur.append(ch)
-    parts.append("".join(cur))
-    return parts
-
-
-def rewrite_rounding(sql: str) -> str:
-    """Replace every ``round_even(expr, d)`` by ``rnd(expr, d)`` (recursively)."""
-    key = "round_even("
-    out, i = [], 0
-    while True:
-        j = sql.find(key, i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        out.append(sql[i:j])
-        k, depth = j + len(key), 1
-        while depth:
-            ch = sql[k]
-            depth += ch == "("
-            depth -= ch == ")"
-            k += 1
-        args = _split_args(sql[j + len(key):k - 1])
-        expr, d = ",".join(args[:-1]), int(args[-1].strip())
-        out.append(rnd(rewrite_rounding(expr), d))
-        i = k

@@ -198,3 +198,28 @@ def test_ordered_cumsum_hot_value_splits_across_partitions(spark):
     for r in out:
         assert r.cum == pytest.approx(expect[r.k][0], abs=1e-6) and r.rank == expect[r.k][1]
     assert {r.rank_grand for r in out} == {3000.0}
+
+
+def test_rounding_keeps_its_places_at_every_magnitude(spark):
+    import duckdb
+    from ledgerlake.functions.columns import r2, r6
+    vals = [0.125, 0.375, 0.545, -2.5, 123456.1234567, 12345678901.37, 123456789012.67, 3752339125855.999,
+            1e15, float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    got = [tuple(r) for r in df.select("i", r2("v").alias("a"), r6("v").alias("b")).orderBy("i").collect()]
+    con = duckdb.connect()
+    want = [(i,) + con.execute("SELECT round_even(CAST(? AS DOUBLE), 2), round_even(CAST(? AS DOUBLE), 6)", [v, v]).fetchone()
+            for i, v in enumerate(vals)]
+    assert got == want
+    assert [got[i][1] for i in (0, 1, 5, 6)] == [0.12, 0.38, 12345678901.37, 123456789012.67]
+    assert got[4][2] == 123456.123457
+
+
+def test_exact_sum_does_not_depend_on_order(spark):
+    from ledgerlake.functions.columns import xavg, xsum
+    vals = [0.1] * 1000 + [1e10, 0.37, float("nan")]
+    up = spark.createDataFrame([(v,) for v in vals], "v double").agg(xsum("v").alias("s"), xavg("v").alias("m")).first()
+    down = spark.createDataFrame([(v,) for v in vals[::-1]], "v double").repartition(7) \
+                .agg(xsum("v").alias("s"), xavg("v").alias("m")).first()
+    assert tuple(up) == tuple(down) == (10000000100.37, 10000000100.37 / 1002)
+    assert spark.range(0).agg(xsum("id").alias("s"), xavg("id").alias("m")).first() == (None, None)
