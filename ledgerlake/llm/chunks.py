@@ -19,8 +19,8 @@ import numpy as np
 
 from ledgerlake.llm.textkit import runs, span_hashes, words
 
-TABLE = 1_000_000
-WORDS = 60_000
+TABLE = 2_000_000
+WORDS = 200_000
 BATCH_CHARS = 1 << 20
 _ENDS = frozenset(".,;:!?")
 

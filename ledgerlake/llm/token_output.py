@@ -51,11 +51,11 @@ class IdEncoder:
         self.cut = WordSplitter(path)
         self.whole = Tokenizer.from_file(path)
         self.marker = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in self.cut.spec["added_tokens"]}
-        symbols, tokenize = byte_symbols(), self.whole.model.tokenize
+        symbols, tokenize = dict(enumerate(byte_symbols())), self.whole.model.tokenize
 
         def of_word(w: str) -> list[int]:
-            if not (w.isascii() and w.isalpha()):  # these stand for themselves
-                w = "".join([symbols[b] for b in w.encode("utf-8")])
+            if not (w.isascii() and w.isalnum()):  # these stand for themselves
+                w = w.encode("utf-8").decode("latin-1").translate(symbols)
             return [t.id for t in tokenize(w)]
 
         self.table = ChunkTable(of_word, self.cut.words)
@@ -141,25 +141,20 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``pos``: row number in the bucket; a partition is one bucket, sorted."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for b in batches:
-            yield b.append_column("pos", pa.array(np.arange(n, n + b.num_rows)))
-            n += b.num_rows
-
-    return rows.mapInArrow(run, "doc_id long, bucket int, ids binary, pos long")
+    """``pos``: row number in the bucket; a partition is one bucket, sorted (the low
+    33 bits of the built-in id count a partition's rows)."""
+    return rows.withColumn("pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
 
 
 def _frequencies(rows: DataFrame, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                got = np.bincount(np.frombuffer(x.as_py(), width))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[:len(got)] += got
+            buf, offs = flat(b.column(0))
+            got = np.bincount(buf[offs[0]:offs[-1]].view(width))
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[:len(got)] += got
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
