@@ -23,7 +23,10 @@ that touches too few segments also looks up segments both sets leave empty.
 *Verification.* Candidates are compared set against set. First each probe meets
 only the most connected set of each of its groups, which joins large groups of
 near copies by a star; then all candidates that still lie in different
-components meet, so no link between components is lost.
+components meet, so no link between components is lost. Those carry a parity
+bitmap: each shingle flips one bit, so two bitmaps differ in at most as many
+bits as the sets in shingles, and a pair whose bitmaps differ in more than the
+size filter allows cannot link. That is exact: it spares pairs, never links.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ from ledgerlake.llm.textkit import flat, mix64, pack_buckets, release, runs, shi
 
 SHINGLE = 5
 FLEX = 16
+PARITY_WORDS = 8  # a power of two
+PARITY = [f"parity{k}" for k in range(PARITY_WORDS)]
 SELF, DELETED, EMPTY = 0, 1, 2
 
 
@@ -125,6 +130,19 @@ def signature_rows(h: np.ndarray, d: np.ndarray, cls: np.ndarray, n: np.ndarray)
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
+def parity_bits(h: np.ndarray, d: np.ndarray, rows: int) -> np.ndarray:
+    """PARITY_WORDS longs a set: the bits that its shingles hit an odd number of
+    times. ``h`` is sorted within ``d``."""
+    out = np.zeros((rows, PARITY_WORDS), np.uint64)
+    high = PARITY_WORDS.bit_length() - 1
+    word = (h >> np.uint64(64 - high)).astype(np.int64)
+    bit = np.uint64(1) << ((h >> np.uint64(58 - high)) & np.uint64(63))
+    first = runs(d, word)
+    if len(first):
+        out[d[first], word[first]] = np.bitwise_xor.reduceat(bit, first)
+    return out.view(np.int64)
+
+
 def sets_of(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """``extra`` columns with cls and n_shingles; documents without words have n_shingles 0."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra) + ", cls long, n_shingles long"
@@ -251,6 +269,14 @@ def _fits(small: str, large: str) -> Column:
     return (a * 5 >= b * 4) & ((a < b) | ((a == b) & (F.col(f"{small}.cls") < F.col(f"{large}.cls"))))
 
 
+def _close(x: str, y: str, percent: int) -> Column:
+    """The parity filter: with c common shingles of a + b, the link
+    100 * c >= percent * (a + b - c) leaves at most
+    (a + b) * (100 - percent) / (100 + percent) shingles that differ."""
+    apart = sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in PARITY), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+
+
 def _meets() -> Column:
     """An index row that a probe's lookup returns."""
     pk, ik, level = F.col("p.kind"), F.col("i.kind"), F.col("p.level")
@@ -259,7 +285,7 @@ def _meets() -> Column:
 
 
 def _chosen_sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(cls, n, set) of the candidate classes, a set as sorted 64-bit hashes.
+    """(cls, set, parity) of the candidate classes, a set as sorted 64-bit hashes.
 
     A bitmap of fixed size (2**24 bits) of the candidates' hashes travels to all
     tasks and spares most other sets the shuffle; the join decides.
@@ -278,11 +304,16 @@ def _chosen_sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 _, once = np.unique(cls[take], return_index=True)
                 take = take[np.sort(once)]
                 start = np.searchsorted(d, take)
+                new = np.full(j - i, -1)
+                new[take] = np.arange(len(take))
+                keep = new[d] >= 0
+                bits = parity_bits(h[keep], new[d[keep]], len(take))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(cls[take]), pa.array([h[a:a + k].tobytes() for a, k in zip(start, n[take], strict=True)], pa.binary())],
-                    names=["cls", "set"])
+                    pa.array(cls[take]), pa.array([h[a:a + k].tobytes() for a, k in zip(start, n[take], strict=True)], pa.binary()),
+                    *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], names=["cls", "set", *PARITY])
 
-    some = docs.select("text").mapInArrow(run, "cls long, set binary").dropDuplicates(["cls"])
+    schema = "cls long, set binary, " + ", ".join(f"{x} long" for x in PARITY)
+    some = docs.select("text").mapInArrow(run, schema).dropDuplicates(["cls"])
     return some.join(candidates, "cls", "left_semi")
 
 
@@ -325,8 +356,10 @@ def class_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     linked = written(_verified(star, sets, percent), "join-links")
     roots = written(components(linked, "a", "b").select(F.col("node").alias("cls"), "root"), "join-roots")
 
+    marks = sets.select("cls", *PARITY).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
     def rooted(df: DataFrame) -> DataFrame:
-        return df.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        return df.join(marks, "cls")
 
     # What is left: probes and index rows of groups that hold several components.
     # A group's largest component meets only the rest of its group.
@@ -336,7 +369,7 @@ def class_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
     mixed = sizes.where("roots > 1").select("sig", F.col("top.root").alias("main"))
     p, i = p.join(mixed, "sig"), i.join(mixed, "sig")
-    apart = _meets() & _fits("i", "p") & (F.col("p.root") != F.col("i.root"))
+    apart = _meets() & _fits("i", "p") & (F.col("p.root") != F.col("i.root")) & _close("i", "p", percent)
     rest = (p.where("root != main").alias("p").join(i.alias("i"), "sig").where(apart).select(F.col("i.cls").alias("a"), F.col("p.cls").alias("b"))
             .union(p.where("root = main").alias("p").join(i.where("root != main").alias("i"), "sig").where(apart)
                     .select(F.col("i.cls").alias("a"), F.col("p.cls").alias("b")))).distinct()

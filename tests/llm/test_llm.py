@@ -349,3 +349,16 @@ def test_pipeline_stage_by_stage(spark):
         assert name.startswith("mixing") or 0 < docs.count() <= n
         n = docs.count()
     assert P.STAGES[-1][1](spark, docs, SF).count() == n
+
+
+def test_parity_bits_never_tell_more_differences_than_there_are():
+    rng = np.random.default_rng(7)
+    for size in (1, 5, 60, 400, 3000):
+        a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 64, size // 5 + 1, dtype=np.uint64)])
+        h, d = np.r_[a, b], np.r_[np.zeros(len(a), np.int64), np.full(len(b), 2)]
+        bits = ngram_join.parity_bits(h, d, 3).view(np.uint64)
+        differ = int(np.bitwise_count(bits[0] ^ bits[2]).sum())
+        apart = len(np.setxor1d(a, b))
+        assert differ <= apart and (apart - differ) % 2 == 0
+        assert not bits[1].any()  # a set without shingles
