@@ -15,7 +15,8 @@ also shows the one-deletion neighbourhood of its subset.
 *Allocation.* Two sets that differ in at most H shingles agree in all but H of
 the segments the larger touches. So a probe must spend H + 1 units: one on a
 segment looked up exactly, a second one on a flexible segment looked up with
-one deletion on either side. Units are spent in the order of their cost, which
+one deletion on either side. A subset of one shingle has no second unit: what is
+left after its deletion would be the empty subset, which is not looked up. Units are spent in the order of their cost, which
 is the exact number of index rows they would meet over all data: what nobody
 else shows costs nothing, and most sets need no lookup at all. The rare set
 that touches too few segments also looks up segments both sets leave empty.
@@ -103,15 +104,15 @@ def signature_rows(h: np.ndarray, d: np.ndarray, cls: np.ndarray, n: np.ndarray)
         mixed = mix64(hh)
         total = np.add.reduceat(mixed, first)
         touched = np.bincount(who, minlength=len(n))
-        flexible = where % FLEX == 0
+        length = np.diff(np.r_[first, len(hh)])
+        flexible = (where % FLEX == 0) & (length > 1)
         flex = np.bincount(who[flexible], minlength=len(n))
         need = units(n, STARTS[band], own)
         lacking = use & (touched + flex < need)
-        rows = [(mix64(total + salt), who, where, SELF)]
-        length = np.diff(np.r_[first, len(hh)])
+        rows = [(mix64(total + salt), who, where, SELF + 16 * flexible)]
         of = np.repeat(np.arange(len(first)), length)
         gone = flexible[of]
-        rows.append((mix64((total + salt)[of[gone]] - mixed[gone]), who[of[gone]], where[of[gone]], DELETED))
+        rows.append((mix64((total + salt)[of[gone]] - mixed[gone]), who[of[gone]], where[of[gone]], DELETED + 16))
         show = use if own else lacking
         if show.any():
             cells = np.repeat(np.flatnonzero(show), m[show])
@@ -218,7 +219,7 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
             return
         first = runs(sig)
         size = np.diff(np.r_[first, len(o)])
-        own, kind, lacking = what & 4 > 0, what & 3, what & 8 > 0
+        own, kind, lacking, flexible = what & 4 > 0, what & 3, what & 8 > 0, what & 16 > 0
         def per(flags: np.ndarray) -> np.ndarray:
             return np.repeat(np.add.reduceat(flags.astype(np.int64), first), size)
         index = per(own & (kind == SELF))
@@ -232,13 +233,13 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
         rows = t.take(pa.array(o))
         yield pa.RecordBatch.from_arrays([
             pa.array(sig[use].view(np.int64)), pa.array(cls[use]), rows.column("n").combine_chunks(), rows.column("seg").combine_chunks(),
-            rows.column("units").combine_chunks(), pa.array(own[use]), pa.array(kind[use].astype(np.int32)), pa.array(c0[use]), pa.array(c1[use])],
-            names=["sig", "cls", "n", "seg", "units", "own", "kind", "c0", "c1"])
+            rows.column("units").combine_chunks(), pa.array(own[use]), pa.array(kind[use].astype(np.int32)), pa.array(flexible[use]), pa.array(c0[use]), pa.array(c1[use])],
+            names=["sig", "cls", "n", "seg", "units", "own", "kind", "flexible", "c0", "c1"])
         del t, rows
         release()
 
     return packed.repartitionById(buckets, F.col("bucket")).select("blob").mapInArrow(
-        run, "sig long, cls long, n int, seg int, units int, own boolean, kind int, c0 long, c1 long")
+        run, "sig long, cls long, n int, seg int, units int, own boolean, kind int, flexible boolean, c0 long, c1 long")
 
 
 def _need(n: Column, own: Column) -> Column:
@@ -251,10 +252,9 @@ def _need(n: Column, own: Column) -> Column:
 def _allocated(shared: DataFrame) -> DataFrame:
     """(cls, own, seg, level) of the lookups to make: level 1 includes one deletion."""
     cost = shared.groupBy("cls", "own", "seg").agg(F.max("n").alias("n"), F.max("units").alias("units"), F.sum("c0").alias("c0"),
-                                                   F.sum("c1").alias("c1"), F.max((F.col("kind") == EMPTY).cast("int")).alias("hollow"))
+                                                   F.sum("c1").alias("c1"), F.max((F.col("kind") == EMPTY).cast("int")).alias("hollow"), F.max("flexible").alias("flexible"))
     exact = F.when(F.col("c0") > 0, F.struct(F.lit(0).alias("level"), F.col("c0").alias("cost")))
-    flexible = (F.col("seg") % FLEX == 0) & (F.col("hollow") == 0) & (F.col("c0") + F.col("c1") > 0)
-    loose = F.when(flexible, F.struct(F.lit(1).alias("level"), F.greatest("c0", "c1").alias("cost")))
+    loose = F.when(F.col("flexible") & (F.col("c0") + F.col("c1") > 0), F.struct(F.lit(1).alias("level"), F.greatest("c0", "c1").alias("cost")))
     items = cost.select("cls", "own", "seg", "n", "units", "hollow", F.inline(F.array_compact(F.array(exact, loose))))
     mine = Window.partitionBy("cls", "own")
     items = items.withColumn("free", F.col("units") - F.sum(1 - F.col("hollow")).over(mine))

@@ -228,6 +228,26 @@ def test_signatures_lose_no_close_pair():
                 assert lacking or rows["units"][mine][0] >= ngram_join.units(n, ngram_join.STARTS[band], bool(own))
 
 
+def test_borderline_pairs_of_short_documents_are_linked(spark):
+    """Isolated pairs that differ in as many shingles as a link allows, or one more."""
+    prepare(spark)
+    r, rows, want = random.Random(11), [], {}
+    for i in range(3000):
+        n = r.randrange(9, 60)
+        w = [f"p{i}x{k}" for k in range(n + 4)]
+        cut = round(n / 5) + r.randrange(-1, 2) if i % 2 else round(n / 9) + r.randrange(-1, 2)
+        other = w[cut:] if i % 2 else w[cut:] + [f"q{i}x{k}" for k in range(cut)]
+        x, y = " ".join(w), " ".join(other)
+        a, b = shingle_set(x), shingle_set(y)
+        linked = 100 * len(a & b) >= 80 * len(a | b)
+        rows += [(2 * i, x), (2 * i + 1, y)]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (not linked)}
+    assert 1000 < sum(c % 2 == 0 and d % 2 for d, c in want.items()) < 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(docs).collect()}
+    assert {d: (got[d], c) for d, c in want.items() if got[d] != c} == {}
+
+
 def test_leaks_are_found(spark, docs, none):
     items = spark.createDataFrame([(1, SHARED), (2, BASE), (3, None), (4, "..."), (5, "one two"), (6, SHARED), (None, "zz yy")], "item_id long, text string")
     got = {(r["doc_id"], r["text"]): r["items"] for r in decontaminate.scan(docs, items).collect()}
