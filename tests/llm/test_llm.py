@@ -314,6 +314,15 @@ def test_repeats_are_cut_as_by_brute_force(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_different_runs_of_one_anchor_stay(spark):
+    """Windows with one anchor whose class hashes agree in their upper 32 bits."""
+    x = "7yjdaniixpjzbiezcdsegmfwqwkzyvqu40a3p5essxesizeou5", "cskvl44ot6zror6ftdsegmfwqwkzyvqu4dvi8zc7yjo dl  cd"
+    y = "lnvc6304ipac96zoedsegmfwqwkzyvqu4dgp3bphkjeauv7ea7", "lsw ds8z9lppnlfy5dsegmfwqwkzyvqu43e 7o38c9arqm5j6d"
+    docs = spark.createDataFrame(list(enumerate([*x, *y, x[1]])), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 50}
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(4)
     text, length = np.zeros((30, 128), np.uint8), r.integers(1, 85, 30)
