@@ -2,7 +2,8 @@
 
 Strong spans (assignments, access identifiers, long hex) are found by their
 patterns. Weak candidates - identifier-like, secret-like and endpoint spans -
-are common in clean text, so one is reported only if its complementary parts
+are common in clean text (identifiers and secrets are the parts between the
+equals signs of a run, so a key name does not hide its value), so one is reported only if its complementary parts
 lie within ``reach`` code points in the same document: an identifier needs a
 secret, a secret needs an identifier, an endpoint needs both. That is an
 interval join inside each document, answered by counting interval starts and
@@ -34,9 +35,10 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 REACH = 400
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,200}")
+_PART = re.compile(r"[^=]+(?:=+\Z)?")  # equals signs at a run's end are padding
+_ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}")
 _IDENTIFIER = re.compile(r"[A-Z0-9]{16,32}")
-_SECRET = re.compile(r"[A-Za-z0-9+/=_-]{32,128}")
+LEAST_SECRET = 32
 _MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
 Span = tuple[int, int, int]
@@ -57,10 +59,13 @@ def find_spans(text: str, reach: int = REACH) -> list[Span]:
             strong += [(a + m.start(), 1, a + m.end()) for m in ACCESS.finditer(part) if len(m.group()) >= LEAST_ACCESS]
         if len(part) >= LEAST_HEX:
             strong += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(part) if len(m.group()) >= LEAST_HEX]
-        if not part.startswith("AKIA") and _IDENTIFIER.fullmatch(part) and not part.isalpha() and not part.isdigit():
-            weak.append((a, 3, run.end()))
-        elif _SECRET.fullmatch(part) and all(p.search(part) for p in _MIXED):
-            weak.append((a, 4, run.end()))
+        for m in _PART.finditer(part):
+            at, value = a + m.start(), m.group()
+            name = value.rstrip("=")
+            if not name.startswith("AKIA") and _IDENTIFIER.fullmatch(name) and not name.isalpha() and not name.isdigit():
+                weak.append((at, 3, at + len(name)))
+            elif len(value) >= LEAST_SECRET and all(p.search(value) for p in _MIXED):
+                weak.append((at, 4, a + m.end()))
     if "://" in text:
         weak += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     if weak:
