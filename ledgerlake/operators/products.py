@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import month_start, pct, r2, r6, safe_div, xsum
+from ledgerlake.operators.common import ordered_cumsum
+
+WIDE_BLOCK = 256
 
 
 def _product_sales(items: DataFrame, product: str, qty: str, price: str) -> DataFrame:
@@ -80,6 +83,23 @@ def monthly_product_sales_wide(items: DataFrame, products: Sequence, value: str
     return wide.fillna(0)
 
 
+def monthly_product_sales_blocks(items: DataFrame, value: str = "revenue", block: int = WIDE_BLOCK, **kw) -> DataFrame:
+    """R5 wide form of every product: products in order, ``block`` of them to a
+    row, so a row is bounded and no product list is needed. A row per (month,
+    block) holds the block's products and their ``value`` (0-filled), month by
+    observed month. The months, few, are broadcast to the blocks."""
+    long = monthly_product_sales(items, **kw)
+    p = kw.get("product", "product")
+    ranked = ordered_cumsum(long.select(p).distinct().withColumn("_one", F.lit(1)), [F.col(p).asc()], {"_k": "_one"})
+    place = ranked.select(p, F.floor((F.col("_k") - 1) / block).cast("long").alias("block"))
+    blocks = place.groupBy("block").agg(F.array_sort(F.collect_list(p)).alias("products"))
+    cells = long.join(place, p).groupBy("month", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct(p, F.col(value).cast("double")))).alias("_v"))
+    grid = blocks.crossJoin(F.broadcast(long.select("month").distinct()))
+    filled = F.transform("products", lambda x: F.coalesce(F.try_element_at("_v", x), F.lit(0.0)))
+    return grid.join(cells, ["month", "block"], "left").select("month", "block", "products", filled.alias(value))
+
+
 def monthly_product_price(items: DataFrame, products: DataFrame, product: str = "product",
                           qty: str = "quantity", price: str = "line_price", date: str = "date") -> DataFrame:
     """Per (month, product) mean unit price and mean discount ratio

@@ -63,11 +63,16 @@ def _t6w(spark, sf):
     return TS.cohort_retention_wide(tb.orders(spark, sf))
 
 
-@register("monthly_product_sales_wide")
+@register("monthly_product_sales_wide", V(f"""
+WITH mps AS (SELECT {month()} AS month, product, round_even(sum(line_price), 2) AS revenue
+  FROM items_v WHERE product IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT product, row_number() OVER (ORDER BY product) - 1 AS k FROM (SELECT DISTINCT product FROM mps)),
+m AS (SELECT DISTINCT month FROM mps)
+SELECT month, k // {R.WIDE_BLOCK} AS block, list(product ORDER BY k) AS products,
+       list(coalesce(revenue, 0.0) ORDER BY k) AS revenue
+FROM (SELECT month, product, k FROM m, p) LEFT JOIN mps USING (month, product) GROUP BY 1, 2""", "items_v"))
 def _r5w(spark, sf):
-    items = tb.order_items(spark, sf)
-    top = [r[0] for r in R.top_products(items, top_n=5).select("product").collect()]  # 5 ids, bounded
-    return R.monthly_product_sales_wide(items, top, value="revenue")
+    return R.monthly_product_sales_blocks(tb.order_items(spark, sf), value="revenue")
 
 
 @register("preprocess_carts", V(f"""
