@@ -160,6 +160,11 @@ def _f6(spark, sf):
 
 @register("select_forecast_model")
 def _f9(spark, sf):
+    return FC.select_forecast_model(product_panel(spark, sf), with_gbt=True)
+
+
+@register("select_forecast_model_two")
+def _f9_two(spark, sf):
     return FC.select_forecast_model(product_panel(spark, sf))
 
 

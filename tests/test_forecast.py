@@ -61,6 +61,20 @@ def test_naive_and_selection_prefer_trend_season_on_seasonal_data(spark):
     assert sel[("a", "seasonal_trend")].rmse < sel[("a", "naive")].rmse
 
 
+def test_registered_selection_scores_the_boosted_trees(spark):
+    from ledgerlake.plans.registry import QUERIES, load_all
+    load_all()
+    sf, models = "/root/testdata/sf0.001", {}
+    for r in QUERIES["select_forecast_model"](spark, sf).collect():
+        models.setdefault(r.series_id, []).append(r)
+    two = {(r.series_id, r.model): r.rmse for r in QUERIES["select_forecast_model_two"](spark, sf).collect()}
+    assert {s for s, m in two if m == "seasonal_trend"} == {s for s, m in models.items() if "gbt" in {r.model for r in m}}
+    assert {(r.series_id, r.model) for m in models.values() for r in m if r.model != "gbt"} == set(two)
+    for m in models.values():
+        assert [r.model for r in m if r.chosen] == [min(m, key=lambda r: (r.rmse, r.model)).model]
+    assert any(r.chosen for m in models.values() for r in m if r.model == "gbt")
+
+
 def test_accuracy_metrics(spark):
     pred = spark.createDataFrame([("s", date(2020, 1, 1), 10.0, 12.0, "m"), ("s", date(2020, 2, 1), 20.0, 18.0, "m")],
                                  "series_id string, period date, y double, yhat double, model string")
