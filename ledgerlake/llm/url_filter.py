@@ -20,7 +20,11 @@ from ledgerlake.llm.graph import components
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-_LINK_TAGS = r"(?is)<(?:link|meta)\b[^>]{1,2000}>"
+_LINK_TAGS = r"(?is)<(?:link|meta)\b[^>]++>"
+# What names a target, and where the tag holds it if it is not absolute.
+_TARGETS = ((r"(?i)rel\s*=\s*[\"']?canonical", r"(?i)\bhref\s*=\s*[\"']?([^\s\"'>]+)"),
+            (r"(?i)property\s*=\s*[\"']?og:url", r"(?i)\bcontent\s*=\s*[\"']?([^\s\"'>]+)"),
+            (r"(?i)http-equiv\s*=\s*[\"']?refresh", r"(?i)\bcontent\s*=\s*[\"']?[\d.]+\s*;\s*url\s*=\s*[\"']?([^\s\"'>]+)"))
 
 
 def _after(url: Column) -> Column:
@@ -54,13 +58,38 @@ def node_of(url: Column) -> Column:
     return F.when(F.length(host_of(url)) > 0, F.concat(host_of(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its segments ``.`` and ``..`` resolved."""
+    parts = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(
+        s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(target: Column, page: Column) -> Column:
+    """Absolute form of a url without scheme, named by a page; null if it has
+    another scheme (``mailto:``), is a fragment, or the page's url has no host."""
+    at, base = F.concat(F.lit("x://"), host_of(page)), F.when(path_of(page) == "", "/").otherwise(path_of(page))
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    query = F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)?", 1)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.regexp_extract(base, r"(?s)^.*/", 0), path))
+    return (F.when((target == "") | F.startswith(target, F.lit("#")) | target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+             .when(F.startswith(target, F.lit("//")), F.concat(F.lit("x:"), target))
+             .when(host_of(page) == "", F.lit(None))
+             .when(path == "", F.concat(at, base, query)).otherwise(F.concat(at, _without_dots(whole), query)))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(page's node, named node) for every absolute url that a page's canonical
-    link, og:url or meta refresh names."""
-    tags = pages.select(node_of(F.col("url")).alias("a"), F.explode(F.regexp_extract_all(
+    """(page's node, named node) for every url that a page's canonical link,
+    og:url or meta refresh names; relative ones belong to the page's url
+    (``<base>`` is not read)."""
+    tags = pages.select("url", node_of(F.col("url")).alias("a"), F.explode(F.regexp_extract_all(
         F.coalesce("html", F.lit("")), F.lit(_LINK_TAGS), F.lit(0))).alias("tag"))
     named = tags.where(F.col("tag").rlike(r"(?i)rel\s*=\s*[\"']?canonical|property\s*=\s*[\"']?og:url|http-equiv\s*=\s*[\"']?refresh"))
-    return named.select("a", node_of(F.regexp_extract("tag", r"(?i)(?:href\s*=\s*[\"']?|content\s*=\s*[\"']?(?:[\d.]+\s*;\s*url\s*=\s*[\"']?)?)([a-z][a-z0-9+.-]*://[^\s\"'>]+)", 1)).alias("b"))
+    relative = F.coalesce(*[F.when(F.col("tag").rlike(kind), F.regexp_extract("tag", place, 1)) for kind, place in _TARGETS])
+    absolute = named.select("url", "a", relative.alias("relative"), F.regexp_extract("tag", r"(?i)(?:href\s*=\s*[\"']?|content\s*=\s*[\"']?(?:[\d.]+\s*;\s*url\s*=\s*[\"']?)?)([a-z][a-z0-9+.-]*://[^\s\"'>]+)", 1).alias("named"))
+    return absolute.select("a", node_of(F.when(F.col("named") != "", F.col("named")).otherwise(
+        resolved(F.col("relative"), F.col("url")))).alias("b"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

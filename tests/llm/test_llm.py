@@ -361,6 +361,23 @@ def test_url_rules_and_aliases(spark):
     assert out[6] == out[7] == ("", "", None, "allow") and out[9] == ("example.com", "", None, "allow")
 
 
+def test_long_tags_and_relative_targets_are_aliases(spark):
+    html = {"/en/x": "example.com/en/x", "../en/./y?q=1#f": "example.com/en/y?q=1", "//b.net/es/1": "b.net/es/1", "z": "example.com/a/z",
+            "?k": "example.com/a/p?k", "..": "example.com/", "#top": None, "mailto:a@b.net": None}
+    forms = ('<link rel="canonical" href="{}">', '<meta property="og:url" content="{}">', '<meta http-equiv="refresh" content="0; url={}">')
+    rows = [(i, "http://example.com/a/p", f.format(t), want) for i, (f, (t, want)) in enumerate((f, x) for f in forms for x in html.items())]
+    rows += [(90, "http://c.org/q", f'<link data-x="{"x" * 5000}" rel="canonical" href="http://b.net/es/1">', "b.net/es/1"),
+             (91, "http://c.org", '<link rel="canonical" href="es">', "c.org/es"), (92, "none", '<link rel="canonical" href="/es">', None),
+             (93, "http://c.org/r", '<meta http-equiv="refresh" content="5">', None)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = [r["b"] for r in url_filter.alias_edges(pages.coalesce(1)).collect()]
+    assert got == [r[3] for r in rows]
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(
+        [(1, "http://m.org/a/p", '<link rel="canonical" href="//b.net/es/1">'), (2, "http://m.org/a/q", '<link rel="canonical" href="p">')],
+        "page_id long, url string, html string")).collect()}
+    assert verdicts == {1: "block", 2: "block"}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
     out = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
