@@ -61,3 +61,42 @@ other AS (SELECT a, {parts("'x://' || b").replace(' AS node', ' AS n2')} FROM re
 hit AS (SELECT DISTINCT a FROM other WHERE {case(0)} = 'block')
 SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN hit.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN hit ON hit.a = p.node"""
+
+
+def crc32(octets: str) -> str:
+    """The unsigned CRC-32 of a list of bytes (bigint), as an expression over ``crc_table.step``."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1])), 4294967295)")
+
+
+#: One row with the CRC-32 of each single byte, made from the polynomial.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS step FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(i)))"""
+
+
+def prefix_trie() -> str:
+    h = crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)") + " % 6"
+    return f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+        left(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id
+      FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, id, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS i FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {h} AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+turns AS (SELECT c.conv_id, 0 AS part, i, id, size FROM c JOIN own ON own.conv_id = c.base AND i < h
+          UNION ALL SELECT c.conv_id, 1, i, id, size FROM c JOIN own ON own.conv_id = c.conv_id AND i >= h),
+paths AS (SELECT conv_id, size, row_number() OVER w AS d, string_agg(id, '') OVER w AS path FROM turns
+          WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+total AS (SELECT c.conv_id, coalesce(max(d), 0) AS d FROM c LEFT JOIN paths USING (conv_id) GROUP BY 1),
+every AS (SELECT conv_id, size, d, path FROM paths UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+nodes AS (SELECT path, every.d AS d, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total.d = every.d), '')) AS ends_sha256
+          FROM every JOIN total USING (conv_id) GROUP BY path, every.d),
+kids AS (SELECT left(path, 32 * (d - 1)::INT) AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sums AS (SELECT left(path, (32 * k)::INT) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n - 1) * size) AS saved_tokens
+         FROM (SELECT *, unnest(range(d::BIGINT + 1)) AS k FROM full_nodes) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums s USING (path) LEFT JOIN full_nodes p ON f.d > 0 AND p.path = left(f.path, (32 * (f.d - 1))::INT)
+"""
