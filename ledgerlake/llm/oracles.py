@@ -100,3 +100,24 @@ SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n
   s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
 FROM full_nodes f JOIN sums s USING (path) LEFT JOIN full_nodes p ON f.d > 0 AND p.path = left(f.path, (32 * (f.d - 1))::INT)
 """
+
+
+def spelling() -> str:
+    octets = "list_transform(range(strlen(s)), lambda i: ('0x' || substr(hex(encode(s)), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), {_LOWER}) AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM runs WHERE length(w) >= 5 GROUP BY 1, 2),
+hashed AS (SELECT w, n, {crc32(octets)} AS h FROM each, crc_table),
+noisy AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM noisy WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, left(word, i::INT) AS a, substr(word, (i + 2)::INT) AS b FROM (SELECT *, unnest(range(length(word)::BIGINT)) AS i FROM v)),
+pair AS (SELECT x.word, x.n, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+         UNION SELECT x.word, x.n, v.word, v.n FROM cut x JOIN v ON v.word = x.a || x.b
+         UNION SELECT v.word, v.n, x.word, x.n FROM cut x JOIN v ON v.word = x.a || x.b),
+near AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS m FROM pair GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN best END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+      FROM v LEFT JOIN near USING (word)),
+up(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.form)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word AND up.form IS NULL
+"""

@@ -175,6 +175,7 @@ def trie(conversations: DataFrame) -> DataFrame:
         F.min("key").alias("a"), F.max("key").alias("b")).collect())  # two keys for each partition
     beside = {p: (heads[i - 1][2] if i else None, heads[i + 1][1] if i + 1 < len(heads) else None) for i, (p, _, _) in enumerate(heads)}
     shared_heads = spark.sparkContext.broadcast(beside)
+    most_keys, most_bytes = CHUNK_KEYS, CHUNK_BYTES
     schema = ("id binary, depth long, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, "
               "ends string, parent long, parent_id binary")
     arrow = pa.schema([("id", pa.binary()), *[(c, pa.int64()) for c in ("depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")],
@@ -186,7 +187,7 @@ def trie(conversations: DataFrame) -> DataFrame:
         size = 0
         for b in batches:
             for r in b.to_pylist():
-                if len(chunk) >= CHUNK_KEYS or size >= CHUNK_BYTES:
+                if len(chunk) >= most_keys or size >= most_bytes:
                     yield pa.RecordBatch.from_pylist(tree_nodes(chunk, before, r["key"]), arrow)
                     before, chunk, size = chunk[-1]["key"], [], 0
                 chunk.append(r)

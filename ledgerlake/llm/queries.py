@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, fingerprint, mixing, ngram_join, oracles, prefix_trie, quality, secrets, suffix_dedup, token_count, token_output, url_filter
+from ledgerlake.llm import decontaminate, fingerprint, mixing, ngram_join, oracles, prefix_trie, quality, secrets, spelling, suffix_dedup, token_count, token_output, url_filter
 from ledgerlake.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,10 +89,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", F.array_join("items", ",").alias("items"), "share")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
 ORACLES |= {"op5_ngram_join": oracles.ngram_join(), "op6_decontaminate": oracles.decontaminate(),
-            "op9_url_filter": oracles.url_filter(url_filter.RULES), "op13_prefix_trie": oracles.prefix_trie()}
+            "op9_url_filter": oracles.url_filter(url_filter.RULES), "op11_spelling_variants": oracles.spelling(), "op13_prefix_trie": oracles.prefix_trie()}
