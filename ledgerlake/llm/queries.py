@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, fingerprint, mixing, ngram_join, oracles, prefix_trie, quality, secrets, spelling, suffix_dedup, token_count, token_output, url_filter
+from ledgerlake.llm import decontaminate, fingerprint, mixing, ngram_join, oracles, packing, prefix_trie, quality, secrets, spelling, suffix_dedup, token_count, token_output, url_filter
 from ledgerlake.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    return packing.described(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path), packing.id_width(path, 2))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
