@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -234,14 +235,12 @@ def pack_blocks(items: DataFrame, n_blocks: int, capacity: int, level: int) -> D
 
 
 def assigned(items: DataFrame, capacity: int = 1024) -> DataFrame:
-    """(id, sequence_id, offset) for each piece (id unique, length up to ``capacity``).
+    """(id, sequence_id, offset) for each piece (id unique, length from 1 to ``capacity``).
 
     Level by level: all but the loosest bins of a level are final, the pieces of the
-    others meet in fewer blocks. Sequence numbers hold the level, the block and the
-    bin; a piece that fills a sequence alone gets the negative of its id, less one.
+    others meet in fewer blocks. Sequence numbers hold the level, the block and the bin.
     """
-    full = items.where(F.col("length") >= capacity).select("id", (-F.col("id") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done, left = [full], items.where(F.col("length") < capacity)
+    done, left = [], items
     count, level = left.count(), 0
     while count:
         n_blocks = ceil(count / BLOCK_PIECES)
@@ -255,31 +254,36 @@ def assigned(items: DataFrame, capacity: int = 1024) -> DataFrame:
         final = packed.where(~loose) if count else packed
         done.append(final.select("id", number.alias("sequence_id"), "offset"))
         level += 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    if not done:
+        return items.select("id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return reduce(DataFrame.unionByName, done)
+
+
+_PART = ["offset", "id", "doc_id", "piece", "start", "length"]
 
 
-def sequences(parts: DataFrame, places: DataFrame) -> DataFrame:
-    """The packed sequences, written to the shared folder: sequence_id, ids (binary as
-    in ``parts``), parts array<struct<offset, id, doc_id, piece, start, length>>.
+def sequences(parts: DataFrame, places: DataFrame, capacity: int) -> DataFrame:
+    """The packed sequences in the shared folder: sequence_id, ids (binary as in
+    ``parts``), parts array<struct<offset, id, doc_id, piece, start, length>>.
 
-    A sequence has at most ``capacity`` pieces with tokens; pieces without any have
-    no place in a sequence and are left out of this table (not of ``pack``).
+    A piece that fills a sequence is one as it lies in the files of ``parts`` and is not
+    moved; the others meet by sequence and are written. A sequence has at most
+    ``capacity`` pieces; pieces without tokens have no place in any.
     """
-    joined = parts.where("length > 0").join(places, "id")
-    whole = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(
-        F.struct("offset", "id", "doc_id", "piece", "start", "length", "ids"))).alias("x"))
-    return written(whole.select(
+    alone = parts.where(F.col("length") >= capacity).withColumn("offset", F.lit(0).cast("long")).select(
+        (-F.col("id") - 1).alias("sequence_id"), "ids", F.array(F.struct(*_PART)).alias("parts"))
+    met = parts.where((F.col("length") > 0) & (F.col("length") < capacity)).join(places, "id").groupBy("sequence_id").agg(
+        F.sort_array(F.collect_list(F.struct(*_PART, "ids"))).alias("x"))
+    return alone.unionByName(written(met.select(
         "sequence_id", F.aggregate("x", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"),
-        F.transform("x", lambda p: F.struct(*[p[c].alias(c) for c in ("offset", "id", "doc_id", "piece", "start", "length")])).alias("parts")), "sequences")
+        F.transform("x", lambda p: F.struct(*[p[c].alias(c) for c in _PART])).alias("parts")), "sequences"))
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = 1024) -> DataFrame:
-    """Pack whole documents; the written sequences (see ``sequences``)."""
+    """Pack whole documents; the sequences (see ``sequences``)."""
     parts = pieces(docs, vocabulary, end_id, capacity)
-    return sequences(parts, assigned(parts.select("id", "length").where("length > 0"), capacity))
+    open_ = parts.select("id", "length").where((F.col("length") > 0) & (F.col("length") < capacity))
+    return sequences(parts, assigned(open_, capacity), capacity)
 
 
 def described(packed: DataFrame, width: str) -> DataFrame:
