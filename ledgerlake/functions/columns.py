@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "safe_div", "pct", "xsum", "xavg", "rnd", "r2", "r6", "quantiles", "month_start", "period_start",
+    "col_of", "safe_div", "pct", "xsum", "xavg", "rnd", "r2", "r6", "month_start", "period_start",
     "period_step", "clean_amount", "contains_safe", "quartile_score", "PERIODS",
 ]
 
@@ -108,11 +108,3 @@ def quartile_score(x, q1, q2, q3, reverse: bool = False) -> Column:
          + (x > col_of(q3)).cast("int"))
     return (F.lit(5) - s) if reverse else s
 
-
-def quantiles(c, ps, exact: bool = True, accuracy: int = 100000) -> Column:
-    """Array of quantiles at ``ps`` with linear interpolation (pandas
-    ``quantile``). ``exact=False`` uses ``percentile_approx`` (rank error
-    about 1/accuracy) for inputs whose distinct values are too many for one
-    exact aggregation buffer, e.g. per-client tables of a very large shop."""
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    return F.percentile(col_of(c), arr) if exact else F.percentile_approx(col_of(c), arr, accuracy)

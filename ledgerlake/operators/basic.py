@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import contains_safe, pct, quantiles, r2, r6, safe_div, xavg, xsum
+from ledgerlake.functions.columns import contains_safe, pct, r2, r6, safe_div, xavg, xsum
+from ledgerlake.functions.quantile import quantiles_of
 from ledgerlake.operators.common import ordered_cumsum
 from ledgerlake.sources.tables import ABANDONED_MARKER
 
@@ -35,17 +36,12 @@ def average_order_value(orders: DataFrame, total: str = "total") -> DataFrame:
     return orders.agg(r6(xavg(total)).alias("aov"))
 
 
-def order_value_distribution(orders: DataFrame, total: str = "total",
-                             exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """Min, Q1, median, Q3, max, mean, sample std (linear interpolation).
-
-    ``exact=False`` switches the quartiles to ``percentile_approx`` for raw
-    order tables too large for an exact value map in one final merge.
-    """
-    q = quantiles(total, (0.25, 0.5, 0.75), exact, accuracy)
+def order_value_distribution(orders: DataFrame, total: str = "total") -> DataFrame:
+    """Min, Q1, median, Q3, max, mean, sample std (linear interpolation,
+    exact at any size: see ``functions.quantile``)."""
+    q = quantiles_of(orders, [total], (0.25, 0.5, 0.75))[total]
     a = orders.agg(F.min(total).alias("min"), F.max(total).alias("max"),
-                   xavg(total).alias("mean"), F.stddev_samp(total).alias("std"),
-                   q.alias("_q"))
+                   xavg(total).alias("mean"), F.stddev_samp(total).alias("std")).withColumn("_q", q)
     return a.select(r6("min").alias("min"), r6(F.col("_q")[0]).alias("q1"),
                     r6(F.col("_q")[1]).alias("median"), r6(F.col("_q")[2]).alias("q3"),
                     r6("max").alias("max"), r6("mean").alias("mean"), r6("std").alias("std"))
@@ -108,10 +104,10 @@ def abandoned_cart_values(carts: DataFrame, cart_id: str = "order_ref", total: s
                           marker: str = ABANDONED_MARKER) -> DataFrame:
     """Mean, median, sum and describe() of abandoned cart totals."""
     ab = carts.where(F.col(cart_id) == marker)
-    qs = F.percentile(total, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     a = ab.agg(F.count(total).alias("count"), xavg(total).alias("mean"),
                F.stddev_samp(total).alias("std"), F.min(total).alias("min"),
-               qs.alias("_q"), F.max(total).alias("max"), xsum(total).alias("total_lost_value"))
+               F.max(total).alias("max"), xsum(total).alias("total_lost_value")
+               ).withColumn("_q", quantiles_of(ab, [total], (0.25, 0.5, 0.75))[total])
     return a.select("count", r6("mean").alias("average_cart_value"),
                     r6(F.col("_q")[1]).alias("median_cart_value"),
                     r2("total_lost_value").alias("total_lost_value"), r6("std").alias("std"),

@@ -11,7 +11,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import clean_amount, quantiles, r6
+from ledgerlake.functions.columns import clean_amount, r6
+from ledgerlake.functions.quantile import quantiles_of
 
 # Fixed value: the default cut-off of old orders.
 DEFAULT_MIN_DATE = "2021-03-31"
@@ -139,24 +140,26 @@ def split_valid(df: DataFrame, rules: Sequence[tuple[str, F.Column]]) -> tuple[D
 
 
 def data_quality_score(df: DataFrame, required: Sequence[str], numeric: Sequence[str],
-                       dates: Sequence[str], now=None, min_date: str = "2020-01-01",
-                       exact: bool = True) -> DataFrame:
-    """Quality checks as a long table (check, passed, n_bad) plus the
-    overall row ``score`` = passed / total checks.
-
-    Checks: each required column present; no exact duplicate rows; per
-    numeric column no negatives and no IQR outliers (< Q1 - 1.5 IQR or
-    > Q3 + 1.5 IQR); per date column nothing in the future and nothing
-    before ``min_date``. Quartiles are scalar subqueries; all counts come
-    from one aggregation.
+                       dates: Sequence[str], now=None, min_date: str = "2020-01-01") -> DataFrame:
+    """Quality checks as a long table (check, passed, n_bad, issue); their
+    score is ``quality_score``.
+
+    Checks: all required columns present (one check; ``n_bad`` are the missing
+    ones); no exact duplicate rows; per numeric column that is there no
+    negatives and no IQR outliers (< Q1 - 1.5 IQR or > Q3 + 1.5 IQR); per date
+    column that is there nothing after ``now`` and nothing before ``min_date``.
+    The quartiles of all columns are one scalar subquery; all counts but the
+    duplicates' come from one aggregation.
     """
     now_c = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
-    checks = []
-    present = set(df.columns)
-    req_rows = [(f"required:{c}", c in present) for c in required]
+    missing = [c for c in required if c not in df.columns]
+    numeric, dates = ([c for c in cs if c in df.columns] for cs in (numeric, dates))
+    rows = df
+    if numeric:
+        df = df.withColumn("_q", quantiles_of(df, numeric, (0.25, 0.75)))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in numeric:
-        q = df.select(quantiles(c, (0.25, 0.75), exact)).scalar()
+        q = F.col("_q")[c]
         iqr = q[1] - q[0]
         aggs += [F.count_if(F.col(c) < 0).alias(f"neg:{c}"),
                  F.count_if((F.col(c) < q[0] - 1.5 * iqr) | (F.col(c) > q[1] + 1.5 * iqr)).alias(f"outlier:{c}")]
@@ -164,17 +167,22 @@ def data_quality_score(df: DataFrame, required: Sequence[str], numeric: Sequence
         aggs += [F.count_if(F.col(c) > now_c).alias(f"future:{c}"),
                  F.count_if(F.col(c) < F.lit(min_date).cast("timestamp_ntz")).alias(f"old:{c}")]
     a = df.agg(*aggs)
-    distinct_rows = df.distinct().agg(F.count(F.lit(1)).alias("_d"))
+    distinct_rows = rows.distinct().agg(F.count(F.lit(1)).alias("_d"))
     dup = a.select((F.col("_rows") - distinct_rows.select("_d").scalar()).alias("duplicates"), *a.columns[1:])
     names = ["duplicates"] + a.columns[1:]
-    long = dup.unpivot([], names, "check", "n_bad") \
-              .select("check", (F.col("n_bad") == 0).alias("passed"), F.col("n_bad").cast("long").alias("n_bad"))
-    if req_rows:
-        spark = df.sparkSession
-        req = spark.createDataFrame([(n, ok, 0 if ok else 1) for n, ok in req_rows],
-                                    "check string, passed boolean, n_bad long")
-        long = req.unionByName(long)
-    return long
+    if required:
+        dup, names = dup.withColumn("required", F.lit(len(missing)).cast("long")), ["required", *names]
+    kind, col = F.split_part("check", F.lit(":"), F.lit(1)), F.split_part("check", F.lit(":"), F.lit(2))
+    n = F.col("n_bad").cast("string")
+    issue = (F.when(kind == "required", F.lit(f"Missing required columns: {', '.join(missing)}"))
+              .when(kind == "duplicates", F.concat(F.lit("Found "), n, F.lit(" duplicate rows")))
+              .when(kind == "neg", F.concat(F.lit("Found "), n, F.lit(" negative values in "), col))
+              .when(kind == "outlier", F.concat(F.lit("Found "), n, F.lit(" potential outliers in "), col))
+              .when(kind == "future", F.concat(F.lit("Found "), n, F.lit(" future dates in "), col))
+              .otherwise(F.concat(F.lit("Found "), n, F.lit(f" dates before {min_date} in "), col)))
+    return dup.unpivot([], names, "check", "n_bad").select(
+        "check", (F.col("n_bad") == 0).alias("passed"), F.col("n_bad").cast("long").alias("n_bad"),
+        F.when(F.col("n_bad") > 0, issue).alias("issue"))
 
 
 def quality_score(checks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterable, Sequence
 
 import pandas as pd
@@ -45,6 +46,14 @@ def fill_spine(agg: DataFrame, col: str = "period", freq: str = "M",
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared checkpoint folder:
+    for an aggregated table that several passes of one query read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _order_exprs(order: Sequence) -> list[Column]:
     return [col_of(c) for c in order]
 

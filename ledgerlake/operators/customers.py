@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import (month_start, pct, quantiles, quartile_score, r2, r6, rnd,
+from ledgerlake.functions.columns import (month_start, pct, quartile_score, r2, r6, rnd,
                                           safe_div, xavg, xsum)
-from ledgerlake.operators.common import ordered_cumsum
+from ledgerlake.functions.quantile import quantile_table, quantiles_of
+from ledgerlake.operators.common import ordered_cumsum, settled
 from ledgerlake.operators.timeseries import client_months
 
 
@@ -31,7 +32,7 @@ def _as_of(orders: DataFrame, date: str, as_of=None, plus_days: int = 1):
 
 
 def rfm(orders: DataFrame, client: str = "client", date: str = "date", total: str = "total",
-        as_of=None, exact: bool = True) -> DataFrame:
+        as_of=None) -> DataFrame:
     """Recency (days from the last order to as-of = max date + 1 day),
     Frequency (orders), Monetary (spend); quartile scores 1-4 (recency
     reversed) and the concatenated RFM score.
@@ -44,15 +45,12 @@ def rfm(orders: DataFrame, client: str = "client", date: str = "date", total: st
     per = orders.where(F.col(client).isNotNull()).groupBy(client).agg(
         F.max(date).alias("_last"), F.count(F.lit(1)).alias("frequency"),
         xsum(total).alias("monetary"))
-    per = per.withColumn("recency", _days_between(asof, F.col("_last")).cast("long"))
+    per = settled(per.withColumn("recency", _days_between(asof, F.col("_last")).cast("long")).drop("_last"))
     metrics = (("recency", True, "r"), ("frequency", False, "f"), ("monetary", False, "m"))
-    # One scalar subquery carries all nine quartile edges (``exact=False``:
-    # approximate edges for client tables too large for an exact buffer).
-    edges = per.select(F.struct(*[quantiles(m, (0.25, 0.5, 0.75), exact).alias(m)
-                                  for m, _, _ in metrics])).scalar()
-    out = per
+    # One scalar subquery carries all nine quartile edges.
+    out = per.withColumn("_q", quantiles_of(per, [m for m, _, _ in metrics], (0.25, 0.5, 0.75)))
     for m, rev, letter in metrics:
-        q = edges[m]
+        q = F.col("_q")[m]
         out = out.withColumn(f"{letter}_score", quartile_score(m, q[0], q[1], q[2], reverse=rev))
     return out.select(client, "recency", "frequency", r2("monetary").alias("monetary"),
                       "r_score", "f_score", "m_score",
@@ -85,12 +83,12 @@ def customer_value_segments(orders: DataFrame, client: str = "client", total: st
                       _segment(share).alias("segment"))
 
 
-def segment_value_box(segments: DataFrame, value: str = "spend", exact: bool = True) -> DataFrame:
+def segment_value_box(segments: DataFrame, value: str = "spend") -> DataFrame:
     """Clients and spend quartiles per value segment (box-plot numbers)."""
-    g = segments.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"),
-                                        F.min(value).alias("min"),
-                                        quantiles(value, (0.25, 0.5, 0.75), exact).alias("_q"),
-                                        F.max(value).alias("max"))
+    segments = settled(segments.select("segment", value))
+    q = quantile_table(segments, [value], (0.25, 0.5, 0.75), by=["segment"]).select(F.col("segment").alias("_s"), F.col("q").alias("_q"))
+    g = segments.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"), F.min(value).alias("min"), F.max(value).alias("max"))
+    g = g.join(q, g["segment"].eqNullSafe(q["_s"]), "left")
     return g.select("segment", "customers", r6("min").alias("min"), r6(F.col("_q")[0]).alias("q1"),
                     r6(F.col("_q")[1]).alias("median"), r6(F.col("_q")[2]).alias("q3"),
                     r6("max").alias("max"))

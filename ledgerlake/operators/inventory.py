@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import pct, period_start, quantiles, r2, r6, rnd, safe_div
-from ledgerlake.operators.common import ordered_cumsum
+from ledgerlake.functions.columns import pct, period_start, r2, r6, rnd, safe_div
+from ledgerlake.functions.quantile import quantiles_of
+from ledgerlake.operators.common import ordered_cumsum, settled
 
 INF = float("inf")
 
@@ -80,9 +81,10 @@ def gross_margin_rate(df: DataFrame, groupby: str | None = None, time_freq: str
 
 def margin_stats(rates: DataFrame, col: str = "margin_rate") -> DataFrame:
     """Mean, median, sample std, min and max of the rounded group rates."""
-    return rates.agg(r6(F.avg(col)).alias("avg_margin"), r6(F.percentile(col, 0.5)).alias("median_margin"),
-                     r6(F.stddev_samp(col)).alias("margin_std"), r6(F.min(col)).alias("min_margin"),
-                     r6(F.max(col)).alias("max_margin"))
+    rates = settled(rates.select(col))
+    return rates.agg(r6(F.avg(col)).alias("avg_margin"), r6(F.stddev_samp(col)).alias("margin_std"),
+                     r6(F.min(col)).alias("min_margin"), r6(F.max(col)).alias("max_margin")) \
+                .withColumn("median_margin", r6(quantiles_of(rates, [col], (0.5,))[col][0]))
 
 
 def _stats(sums: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -171,12 +173,13 @@ def product_profitability(lines: DataFrame, inventory: DataFrame, period: str =
 
 def profitability_stats(profit: DataFrame) -> DataFrame:
     """Product count, revenue, profit and margin-rate statistics."""
+    profit = settled(profit.select("total_revenue", "gross_profit", "margin_rate"))
     return profit.agg(F.count(F.lit(1)).alias("total_products"), r2(F.sum("total_revenue")).alias("total_revenue"),
                       r2(F.sum("gross_profit")).alias("total_profit"),
                       r6(F.avg("margin_rate")).alias("avg_margin_rate"),
-                      r6(F.percentile("margin_rate", 0.5)).alias("median_margin_rate"),
                       F.max("margin_rate").alias("top_margin_rate"),
-                      F.min("margin_rate").alias("bottom_margin_rate"))
+                      F.min("margin_rate").alias("bottom_margin_rate")) \
+                 .withColumn("median_margin_rate", r6(quantiles_of(profit, ["margin_rate"], (0.5,))["margin_rate"][0]))
 
 
 def abc_classes(lines: DataFrame, inventory: DataFrame, period: str = "M",
@@ -246,7 +249,7 @@ def stock_recommendations(lines: DataFrame, inventory: DataFrame, lead_time_days
 
 def product_movement(lines: DataFrame, inventory: DataFrame, slow_mover_threshold: float = 1,
                      bestseller_threshold: float = 0.8, stock_coverage_days: int = 90,
-                     ref: str = "ref", qty: str = "qty", date: str = "date", exact: bool = True) -> DataFrame:
+                     ref: str = "ref", qty: str = "qty", date: str = "date") -> DataFrame:
     """Movement over the last ``stock_coverage_days`` (inclusive) of the
     latest date; full outer join with the inventory; best seller when units
     >= the (1 - threshold) quantile of units over all rows, then dead (0),
@@ -269,8 +272,10 @@ def product_movement(lines: DataFrame, inventory: DataFrame, slow_mover_threshol
     j = j.withColumn("days_of_stock", F.when(F.col("daily_sales_rate") > 0,
                                              F.col("stock_qty") / F.col("daily_sales_rate"))
                      .otherwise(F.lit(INF)))
-    cut = j.select(quantiles("total_units_sold", (1 - bestseller_threshold,), exact)[0]).scalar()
-    move = (F.when(F.col("total_units_sold") >= cut, "Best Seller")
+    j = settled(j)
+    cut = quantiles_of(j, ["total_units_sold"], (1 - bestseller_threshold,))["total_units_sold"][0]
+    j = j.withColumn("_cut", cut)
+    move = (F.when(F.col("total_units_sold") >= F.col("_cut"), "Best Seller")
              .when(F.col("total_units_sold") == 0, "Dead Stock")
              .when(F.col("avg_units_per_period") <= slow_mover_threshold, "Slow Mover")
              .otherwise("Regular Mover"))

@@ -124,19 +124,20 @@ _DQ = """WITH q AS (SELECT quantile_cont(total, 0.25) AS q1, quantile_cont(total
 d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM orders_v)),
 a AS (SELECT count(*) AS rows_, count(*) FILTER (WHERE total < 0) AS neg,
         count(*) FILTER (WHERE total < q1 - 1.5 * (q3 - q1) OR total > q3 + 1.5 * (q3 - q1)) AS outl,
-        count(*) FILTER (WHERE date > TIMESTAMP '2100-01-01') AS fut,
+        count(*) FILTER (WHERE date > TIMESTAMP '1998-01-01') AS fut,
         count(*) FILTER (WHERE date < TIMESTAMP '2020-01-01') AS old FROM orders_v, q),
-l AS (SELECT 'required:id' AS "check", true AS passed, CAST(0 AS BIGINT) AS n_bad
-      UNION ALL SELECT 'required:total', true, 0 UNION ALL SELECT 'required:date', true, 0
-      UNION ALL SELECT 'required:client', true, 0
-      UNION ALL SELECT 'duplicates', a.rows_ - d.n = 0, a.rows_ - d.n FROM a, d
-      UNION ALL SELECT 'neg:total', neg = 0, neg FROM a UNION ALL SELECT 'outlier:total', outl = 0, outl FROM a
-      UNION ALL SELECT 'future:date', fut = 0, fut FROM a UNION ALL SELECT 'old:date', old = 0, old FROM a)"""
+k AS (SELECT 'required' AS "check", CAST(1 AS BIGINT) AS n_bad, 'Missing required columns: carrier' AS t
+      UNION ALL SELECT 'duplicates', a.rows_ - d.n, 'Found ' || (a.rows_ - d.n) || ' duplicate rows' FROM a, d
+      UNION ALL SELECT 'neg:total', neg, 'Found ' || neg || ' negative values in total' FROM a
+      UNION ALL SELECT 'outlier:total', outl, 'Found ' || outl || ' potential outliers in total' FROM a
+      UNION ALL SELECT 'future:date', fut, 'Found ' || fut || ' future dates in date' FROM a
+      UNION ALL SELECT 'old:date', old, 'Found ' || old || ' dates before 2020-01-01 in date' FROM a),
+l AS (SELECT "check", n_bad = 0 AS passed, n_bad, CASE WHEN n_bad > 0 THEN t END AS issue FROM k)"""
 
 
 def _dq(spark, sf):
-    return P.data_quality_score(tb.orders(spark, sf), ["id", "total", "date", "client"], ["total"], ["date"],
-                                now="2100-01-01")
+    return P.data_quality_score(tb.orders(spark, sf), ["id", "total", "date", "client", "carrier"], ["total", "weight"], ["date"],
+                                now="1998-01-01")
 
 
 @register("data_quality_checks", V(f"{_DQ} SELECT * FROM l", "orders_v"))
