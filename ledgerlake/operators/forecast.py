@@ -4,8 +4,8 @@ A panel is ``(series_id, period, y)``: product x month, country x month,
 KPI x month... Every operator works on all series together; windows are
 partitioned by series (a series holds at most one row per month, so no
 window task grows with the data); model fits reduce each series to
-sufficient statistics with one aggregation; the per-series solve is a tiny
-dense problem done vectorised in NumPy inside ``mapInPandas``.
+sufficient statistics with one aggregation; the per-series solve is an elimination
+written out in plain columns.
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlake.functions.columns import r6, rnd, safe_div
-from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.operators.common import settled
 
 S, P, Y = "series_id", "period", "y"
 
@@ -114,13 +112,29 @@ def naive_forecast(panel: DataFrame, horizon: int = 6) -> DataFrame:
 
 
 # ---------------------------------------------------------------- trend + season
-_K = 4  # features: 1, t, sin, cos
+# The regressors are 1, t, sin and cos of 2 pi month / 12. Twice a sine or cosine of
+# a whole month is a + b * sqrt(3) with the whole numbers below (January to December),
+# so that all sums over a series are sums of whole numbers, exact in any order.
+_K = 4
+ROOT3 = 1.7320508075688772
+SIN_A, SIN_B = (1, 0, 2, 0, 1, 0, -1, 0, -2, 0, -1, 0), (0, 1, 0, 1, 0, 0, 0, -1, 0, -1, 0, 0)
+COS_A, COS_B = (0, 1, 0, -1, 0, -2, 0, -1, 0, 1, 0, 2), (1, 0, 0, 0, -1, 0, -1, 0, 0, 0, 1, 0)
 
 
-def _x_cols():
-    t = F.col("_t")
-    ang = F.lit(2 * math.pi / 12.0) * F.month(P)
-    return [F.lit(1.0), t, F.sin(ang), F.cos(ang)]
+def _of_month(values: Sequence[int], period=P):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.month(period))
+
+
+def _sin_cos(period=P):
+    def wave(a, b):
+        return (_of_month(a, period) + _of_month(b, period) * F.lit(ROOT3)) / F.lit(2.0)
+    return wave(SIN_A, SIN_B), wave(COS_A, COS_B)
+
+
+def _line(t, period=P):
+    """The fitted curve at ``t``: always the same operations in the same order."""
+    sin, cos = _sin_cos(period)
+    return F.col("b0") + F.col("b1") * t + F.col("b2") * sin + F.col("b3") * cos
 
 
 def _with_t(panel: DataFrame) -> DataFrame:
@@ -128,57 +142,84 @@ def _with_t(panel: DataFrame) -> DataFrame:
     return panel.withColumn("_t", F.months_between(P, start).cast("double"))
 
 
-def seasonal_trend_fit(panel: DataFrame, min_points: int = 12) -> DataFrame:
-    """F4 fit: least squares of y on [1, t, sin, cos(2 pi month / 12)] per
-    series, from sufficient statistics (one groupBy) solved per series in
-    vectorised NumPy. Returns (series_id, n, t_last, last period, b0..b3, sigma)."""
-    p = _with_t(panel)
-    x = _x_cols()
-    aggs = [F.count(F.lit(1)).alias("n"), F.max("_t").alias("t_last"), F.max(P).alias("p_last"),
-            F.sum(F.col(Y) * F.col(Y)).alias("yy")]
-    for i in range(_K):
-        aggs.append(F.sum(x[i] * F.col(Y)).alias(f"xy{i}"))
-        for j in range(i, _K):
-            aggs.append(F.sum(x[i] * x[j]).alias(f"xx{i}{j}"))
-    stats = p.groupBy(S).agg(*aggs).where(F.col("n") >= min_points)
-
-    schema = T.StructType([stats.schema[S], T.StructField("n", T.LongType()), T.StructField("t_last", T.DoubleType()),
-                           T.StructField("p_last", T.DateType())] +
-                          [T.StructField(f"b{i}", T.DoubleType()) for i in range(_K)] +
-                          [T.StructField("sigma", T.DoubleType())])
-
-    def solve(batches):
-        for b in batches:
-            m = len(b)
-            if m == 0:
-                continue
-            xtx = np.zeros((m, _K, _K))
-            for i in range(_K):
-                for j in range(i, _K):
-                    xtx[:, i, j] = xtx[:, j, i] = b[f"xx{i}{j}"].to_numpy(float)
-            xty = np.stack([b[f"xy{i}"].to_numpy(float) for i in range(_K)], axis=1)
-            beta = np.einsum("mij,mj->mi", np.linalg.pinv(xtx), xty)
-            ss = b["yy"].to_numpy(float) - 2 * np.einsum("mi,mi->m", beta, xty) + \
-                np.einsum("mi,mij,mj->m", beta, xtx, beta)
-            dof = np.maximum(b["n"].to_numpy(float) - _K, 1.0)
-            out = pd.DataFrame({S: b[S], "n": b["n"], "t_last": b["t_last"], "p_last": b["p_last"]})
-            for i in range(_K):
-                out[f"b{i}"] = beta[:, i]
-            out["sigma"] = np.sqrt(np.maximum(ss, 0.0) / dof)
-            yield out
-
-    return stats.mapInPandas(solve, schema)
-
-
-def seasonal_trend_forecast(panel: DataFrame, horizon: int = 6, min_points: int = 12) -> DataFrame:
+def _statistics(panel: DataFrame, places: int | None) -> DataFrame:
+    """X'X (m00..m33), X'y (r0..r3) and y'y per series from one aggregation of products
+    of whole numbers; ``y`` counts in units of 10**-``places`` (None: as doubles)."""
+    start = F.min(P).over(Window.partitionBy(S))
+    whole = "decimal(18,0)"
+    y = F.col(Y) if places is None else F.rint(F.col(Y) * F.lit(float(10 ** places))).cast(whole)
+    rows = panel.select(S, P, y.alias("y"), F.months_between(P, start).cast("int").alias("t"),
+                        *[_of_month(v).alias(n) for n, v in (("a", SIN_A), ("b", SIN_B), ("u", COS_A), ("v", COS_B))])
+    c = {n: F.col(n) for n in "yabuvt"}
+    t = c["t"].cast("bigint")
+    by_y = (lambda n: F.sum(c["y"] * c[n].cast(whole))) if places is not None else (lambda n: F.sum(c["y"] * c[n]))
+    square = F.sum(c["y"] * c["y"])
+    sums = {"n": F.count("*"), "t_last": F.max("t"), "p_last": F.max(P), "t": F.sum(t), "tt": F.sum(t * t), "y": F.sum("y"), "ty": by_y("t"), "yy": square,
+            "ss": F.sum(c["a"] * c["a"] + 3 * c["b"] * c["b"]), "cc": F.sum(c["u"] * c["u"] + 3 * c["v"] * c["v"]),
+            "sca": F.sum(c["a"] * c["u"] + 3 * c["b"] * c["v"]), "scb": F.sum(c["a"] * c["v"] + c["b"] * c["u"])}
+    for n in "abuv":
+        sums |= {n: F.sum(n), "t" + n: F.sum(t * c[n]), "y" + n: by_y(n)}
+    g = rows.groupBy(S).agg(*[x.alias("_" + n) for n, x in sums.items()])
+
+    def whole_sum(n):
+        return F.col("_" + n).cast("double")
+
+    def half(n, m):
+        return (whole_sum(n) + whole_sum(m) * F.lit(ROOT3)) / F.lit(2.0)
+
+    return g.select(S, F.col("_n").alias("n"), F.col("_t_last").cast("double").alias("t_last"), F.col("_p_last").alias("p_last"), whole_sum("yy").alias("yy"),
+                    whole_sum("n").alias("m00"), whole_sum("t").alias("m01"), half("a", "b").alias("m02"), half("u", "v").alias("m03"),
+                    whole_sum("tt").alias("m11"), half("ta", "tb").alias("m12"), half("tu", "tv").alias("m13"),
+                    (whole_sum("ss") / F.lit(4.0)).alias("m22"), ((whole_sum("sca") + whole_sum("scb") * F.lit(ROOT3)) / F.lit(4.0)).alias("m23"),
+                    (whole_sum("cc") / F.lit(4.0)).alias("m33"),
+                    whole_sum("y").alias("r0"), whole_sum("ty").alias("r1"), half("ya", "yb").alias("r2"), half("yu", "yv").alias("r3"))
+
+
+#: A pivot below this share of its diagonal entry counts as zero: the regressor depends on those before it.
+PIVOT = 1e-12
+
+
+def eliminated(stats: DataFrame, k: int = _K) -> DataFrame:
+    """Solve the k x k normal equations of every row by elimination, in plain columns:
+    adds b0..b(k-1) and ``sse``. One projection per step; a dependent regressor gets 0."""
+    d = stats.withColumns({f"_d{i}": F.col(f"m{i}{i}") for i in range(k)})
+    for i in range(k):
+        ok = F.col(f"m{i}{i}") > F.lit(PIVOT) * F.col(f"_d{i}")
+        d = d.withColumns({f"_f{i}{j}": F.when(ok, F.col(f"m{i}{j}") / F.col(f"m{i}{i}")).otherwise(0.0) for j in range(i + 1, k)}
+                          | {f"_g{i}": F.when(ok, F.col(f"r{i}") / F.col(f"m{i}{i}")).otherwise(0.0)})
+        d = d.withColumns({f"m{x}{y}": F.col(f"m{x}{y}") - F.col(f"_f{i}{x}") * F.col(f"m{i}{y}") for x in range(i + 1, k) for y in range(x, k)}
+                          | {f"r{x}": F.col(f"r{x}") - F.col(f"_f{i}{x}") * F.col(f"r{i}") for x in range(i + 1, k)})
+    for i in reversed(range(k)):
+        x = F.col(f"_g{i}")
+        for j in range(i + 1, k):
+            x = x - F.col(f"_f{i}{j}") * F.col(f"b{j}")
+        d = d.withColumn(f"b{i}", x)
+    sse = F.col("yy")
+    for i in range(k):
+        sse = sse - F.col(f"r{i}") * F.col(f"_g{i}")
+    return d.withColumn("sse", F.greatest(sse, F.lit(0.0)))
+
+
+def seasonal_trend_fit(panel: DataFrame, min_points: int = 12, places: int | None = None) -> DataFrame:
+    """F4 fit: least squares of y on [1, t, sin, cos(2 pi month / 12)] per series from
+    sufficient statistics (one aggregation), solved by elimination in plain columns.
+    Returns (series_id, n, t_last, last period, b0..b3, sigma). With ``places`` the sums
+    are of whole units of 10**-places, so the result does not depend on the order of rows."""
+    unit = F.lit(1.0 if places is None else float(10 ** places))
+    fit = eliminated(_statistics(panel, places).where(F.col("n") >= min_points))
+    dof = F.greatest(F.col("n").cast("double") - _K, F.lit(1.0))
+    return fit.select(S, "n", "t_last", "p_last", *[(F.col(f"b{i}") / unit).alias(f"b{i}") for i in range(_K)],
+                      (F.sqrt(F.col("sse") / dof) / unit).alias("sigma"))
+
+
+def seasonal_trend_forecast(panel: DataFrame, horizon: int = 6, min_points: int = 12, places: int | None = None) -> DataFrame:
     """``horizon`` future months per series with yhat and a +-1.96 sigma
     interval (the stand-in for the Prophet / auto-ARIMA calls: same inputs,
     same ds/yhat/yhat_lower/yhat_upper outputs)."""
-    fit = seasonal_trend_fit(panel, min_points)
+    fit = seasonal_trend_fit(panel, min_points, places)
     f = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
     f = f.withColumn(P, F.add_months("p_last", F.col("h"))).withColumn("_t", F.col("t_last") + F.col("h"))
-    x = _x_cols()
-    yhat = sum((x[i] * F.col(f"b{i}") for i in range(1, _K)), x[0] * F.col("b0"))
+    yhat = _line(F.col("_t"))
     band = F.lit(Z_95) * F.col("sigma")
     return f.select(S, P, "h", r6(yhat).alias("yhat"), r6(yhat - band).alias("yhat_lower"),
                     r6(yhat + band).alias("yhat_upper"))
@@ -187,9 +228,7 @@ def seasonal_trend_forecast(panel: DataFrame, horizon: int = 6, min_points: int
 def seasonal_trend_fitted(panel: DataFrame, fit: DataFrame) -> DataFrame:
     """In-sample fitted values of a ``seasonal_trend_fit`` (join on the series)."""
     p = _with_t(panel).join(fit.select(S, "b0", "b1", "b2", "b3"), S)
-    x = _x_cols()
-    yhat = sum((x[i] * F.col(f"b{i}") for i in range(1, _K)), x[0] * F.col("b0"))
-    return p.select(S, P, Y, yhat.alias("yhat"))
+    return p.select(S, P, Y, _line(F.col("_t")).alias("yhat"))
 
 
 # ---------------------------------------------------------------- boosted trees
@@ -208,56 +247,108 @@ def _feature_names(lags):
     return [f"lag_{k}" for k in lags] + ["roll_3", "roll_6", "month", "quarter"]
 
 
-def gbt_fit(panel: DataFrame, lags: Sequence[int] = GBT_LAGS, max_iter: int = 30, max_depth: int = 5,
+def gbt_fit(panel: DataFrame, lags: Sequence[int] = GBT_LAGS, max_iter: int | None = None, max_depth: int = 5,
             seed: int = 42):
     """F5 fit: one global GBTRegressor over the lag features of every series."""
+    return _gbt_on(settled(_gbt_training_rows(panel, lags)), lags, max_iter or TREES, max_depth, seed)
+
+
+#: Few trees of a larger step: each fit is some jobs a tree level, and F5 makes six.
+TREES, STEP = 12, 0.25
+
+
+def _gbt_on(rows: DataFrame, lags: Sequence[int], max_iter: int = TREES, max_depth: int = 5, seed: int = 42):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    rows = _gbt_training_rows(panel, lags)
     va = VectorAssembler(inputCols=_feature_names(lags), outputCol="features")
-    gbt = GBTRegressor(featuresCol="features", labelCol=Y, maxIter=max_iter, maxDepth=max_depth, seed=seed)
+    gbt = GBTRegressor(featuresCol="features", labelCol=Y, maxIter=max_iter, stepSize=STEP, maxDepth=max_depth, seed=seed)
     return Pipeline(stages=[va, gbt]).fit(rows)
 
 
+CV_FOLDS = 5
+
+
+def month_folds(panel: DataFrame, n_folds: int = CV_FOLDS) -> list[tuple]:
+    """(first, last) test month of each of ``n_folds`` folds over the months of the
+    whole panel, in time order: the months are cut into n_folds + 1 runs of equal
+    length (the first takes the remainder), each but the first is a test."""
+    b = panel.agg(F.min(P).alias("lo"), F.max(P).alias("hi")).first()
+    if b["lo"] is None:
+        return []
+    months = pd.date_range(b["lo"], b["hi"], freq="MS").date
+    size = len(months) // (n_folds + 1)
+    if size == 0:
+        return []
+    starts = range(len(months) - n_folds * size, len(months), size)
+    return [(months[i], months[i + size - 1]) for i in starts]
+
+
+def gbt_cv_errors(panel: DataFrame, lags: Sequence[int] = GBT_LAGS, n_folds: int = CV_FOLDS, fit=None) -> DataFrame:
+    """(series, period, y, yhat, error, fold) out of fold: each fold's months are
+    predicted one step ahead by one global model that saw earlier months only.
+    ``fit``: panel rows -> model, by default the boosted trees. Folds without earlier
+    rows are left out."""
+    rows = settled(_gbt_training_rows(panel, lags))
+    got = []
+    for k, (first, last) in enumerate(month_folds(rows, n_folds)):
+        train = rows.where(F.col(P) < F.lit(first))
+        if train.isEmpty():
+            continue
+        model = (fit or (lambda x: _gbt_on(x, lags)))(train)
+        test = model.transform(rows.where(F.col(P).between(F.lit(first), F.lit(last))))
+        got.append(test.select(S, P, Y, F.col("prediction").alias("yhat"), (F.col(Y) - F.col("prediction")).alias("error"), F.lit(k).alias("fold")))
+    if not got:
+        return rows.select(S, P, Y, F.col(Y).alias("yhat"), F.lit(0.0).alias("error"), F.lit(0).alias("fold")).limit(0)
+    out = got[0]
+    for g in got[1:]:
+        out = out.unionByName(g)
+    return out
+
+
 def gbt_forecast(panel: DataFrame, horizon: int = 6, lags: Sequence[int] = GBT_LAGS, model=None,
-                 min_points: int = 13) -> DataFrame:
+                 min_points: int = 13, n_folds: int = CV_FOLDS) -> DataFrame:
     """recursive multi-step forecast with one global model. The state of
     a series is its last max(lags) values (an array, bounded); each step
     derives the features from the state, predicts, appends the prediction
     and is checkpointed (reliable checkpoint) so lineage stays flat.
-    Interval: +-1.96 x in-sample residual std of the series."""
-    ensure_checkpoint_dir(panel.sparkSession)
+    Interval: +-1.96 x the standard deviation of the series' errors on the folds
+    that its models had not seen (``gbt_cv_errors``)."""
+    panel = settled(panel)
     model = model or gbt_fit(panel, lags)
+    out = recursive_forecast(panel, model, horizon, lags)
+    resid = gbt_cv_errors(panel, lags, n_folds).groupBy(S).agg(F.stddev_pop("error").alias("_sd"))
+    out = out.join(resid, S, "left")
+    band = F.lit(Z_95) * F.coalesce(F.col("_sd"), F.lit(0.0))
+    return out.select(S, P, "h", r6("yhat").alias("yhat"), r6(F.col("yhat") - band).alias("yhat_lower"),
+                      r6(F.col("yhat") + band).alias("yhat_upper"))
+
+
+def recursive_forecast(panel: DataFrame, model, horizon: int, lags: Sequence[int] = GBT_LAGS, weight: float = 1.0) -> DataFrame:
+    """(series, period, h, yhat): ``weight`` x model + (1 - weight) x the last value of
+    the state, which is what the next step sees. ``model`` needs ``transform`` to add a
+    ``prediction`` to lag, roll, month and quarter columns. Series shorter than the
+    longest lag are left out. Each step is written to the shared folder."""
     depth = max(lags)
-    rn = F.row_number().over(Window.partitionBy(S).orderBy(F.desc(P)))
-    recent = panel.withColumn("_rn", rn).where(F.col("_rn") <= depth)
+    recent = panel.withColumn("_rn", F.row_number().over(Window.partitionBy(S).orderBy(F.desc(P)))).where(F.col("_rn") <= depth)
     state = recent.groupBy(S).agg(F.array_sort(F.collect_list(F.struct(P, Y))).alias("_hist"),
                                   F.max(P).alias("_p"), F.count(F.lit(1)).alias("_n")) \
                   .where(F.col("_n") >= depth) \
                   .select(S, "_p", F.transform("_hist", lambda s: s[Y]).alias("_v"))
-    train = model.transform(_gbt_training_rows(panel, lags))
-    resid = train.groupBy(S).agg(F.stddev_samp(F.col(Y) - F.col("prediction")).alias("_sd"),
-                                 F.count(F.lit(1)).alias("_m"))
     steps = []
     for h in range(1, horizon + 1):
         nxt = F.add_months("_p", 1)
+        means = {f"roll_{k}": F.aggregate(F.slice("_v", -k, k), F.lit(0.0), lambda a, x: a + x) / F.lit(float(k)) for k in (3, 6)}
         feats = state.select(S, "_p", "_v", *[F.element_at("_v", -k).alias(f"lag_{k}") for k in lags],
-                             *[F.aggregate(F.slice("_v", -k, k), F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))
-                               for k in (3, 6)],
+                             *[m.alias(n) for n, m in means.items()],
                              F.month(nxt).cast("double").alias("month"), F.quarter(nxt).cast("double").alias("quarter"))
-        feats = feats.toDF(*(feats.columns[:3 + len(lags)] + ["roll_3", "roll_6", "month", "quarter"]))
-        pred = model.transform(feats).select(S, F.add_months("_p", 1).alias("_p"), "_v", "prediction")
-        pred = pred.checkpoint(eager=True)
-        steps.append(pred.select(S, F.col("_p").alias(P), F.lit(h).alias("h"), F.col("prediction").alias("yhat")))
-        state = pred.select(S, "_p", F.concat(F.slice("_v", 2, depth - 1), F.array("prediction")).alias("_v"))
+        blend = F.lit(weight) * F.col("prediction") + F.lit(1 - weight) * F.element_at("_v", -1) if weight != 1.0 else F.col("prediction")
+        state = settled(model.transform(feats).select(S, F.add_months("_p", 1).alias("_p"), F.concat(F.slice("_v", 2, depth - 1), F.array(blend)).alias("_v")))
+        steps.append(state.select(S, F.col("_p").alias(P), F.lit(h).alias("h"), F.element_at("_v", -1).alias("yhat")))
     out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    out = out.join(resid, S, "left")
-    band = F.lit(Z_95) * F.coalesce(F.col("_sd"), F.lit(0.0))
-    return out.select(S, P, "h", r6("yhat").alias("yhat"), r6(F.col("yhat") - band).alias("yhat_lower"),
-                      r6(F.col("yhat") + band).alias("yhat_upper"))
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out
 
 
 # ---------------------------------------------------------------- evaluation
@@ -297,19 +388,17 @@ def _split(panel: DataFrame, test_frac: float):
 
 
 def select_forecast_model(panel: DataFrame, test_frac: float = 0.2, min_points: int = 12,
-                          with_gbt: bool = False) -> DataFrame:
+                          with_gbt: bool = False, places: int | None = None) -> DataFrame:
     """hold out the last ``test_frac`` of every series, forecast it with
     each model fitted on the rest, score (F8) and flag the lowest RMSE per
     series (ties -> model name). Output (series, model, n, mae, rmse, mape, r2, chosen)."""
     train, test = _split(panel, test_frac)
     last = train.groupBy(S).agg(F.max_by(Y, P).alias("_last"))
     preds = test.join(last, S).select(S, P, Y, F.col("_last").alias("yhat"), F.lit("naive").alias("model"))
-    fit = seasonal_trend_fit(train, min_points)
+    fit = seasonal_trend_fit(train, min_points, places)
     # test rows need t relative to the series start of the whole panel
     pt = _with_t(panel).join(test.select(S, P), [S, P], "left_semi").join(fit.select(S, "b0", "b1", "b2", "b3"), S)
-    x = _x_cols()
-    st = pt.select(S, P, Y, sum((x[i] * F.col(f"b{i}") for i in range(1, _K)), x[0] * F.col("b0")).alias("yhat"),
-                   F.lit("seasonal_trend").alias("model"))
+    st = pt.select(S, P, Y, _line(F.col("_t")).alias("yhat"), F.lit("seasonal_trend").alias("model"))
     preds = preds.unionByName(st)
     if with_gbt:
         model = gbt_fit(train)
@@ -321,19 +410,23 @@ def select_forecast_model(panel: DataFrame, test_frac: float = 0.2, min_points:
     return acc.withColumn("chosen", F.row_number().over(w) == 1)
 
 
-def ensemble_forecast(panel: DataFrame, horizon: int = 6, weight: float = 0.8, min_rows: int = 24) -> DataFrame:
-    """weight x GBT + (1 - weight) x naive for series with at least
-    ``min_rows`` points; interval = yhat + the series' 2.5/97.5 % in-sample
-    residual quantiles of the naive one-step model."""
-    n = panel.groupBy(S).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).select(S)
-    p = panel.join(n, S, "left_semi")
-    g = gbt_forecast(p, horizon).select(S, P, "h", F.col("yhat").alias("_g"))
-    nv = naive_forecast(p, horizon).select(S, P, F.col("yhat").alias("_n"))
-    ri = residual_interval(naive_backtest(p)).select(S, "resid_lower", "resid_upper")
-    e = g.join(nv, [S, P]).join(ri, S, "left")
-    yhat = F.lit(weight) * F.col("_g") + F.lit(1 - weight) * F.col("_n")
-    return e.select(S, P, "h", r6(yhat).alias("yhat"), r6(yhat + F.col("resid_lower")).alias("yhat_lower"),
-                    r6(yhat + F.col("resid_upper")).alias("yhat_upper"))
+def ensemble_forecast(panel: DataFrame, horizon: int = 6, weight: float = 0.8, min_rows: int = 24, holdout: int = 6,
+                      lags: Sequence[int] = GBT_LAGS, fit=None) -> DataFrame:
+    """recursive blend of ``weight`` x model and (1 - weight) x the last value,
+    each blended value feeding the next step. The one global model (``fit``: feature
+    rows -> model, by default boosted trees) sees all but the last ``holdout`` months
+    of each series; the 2.5 / 97.5 % quantiles of its one-step errors there are the
+    interval. Series need ``min_rows`` feature rows."""
+    rows = _gbt_training_rows(panel, lags)
+    over = Window.partitionBy(S)
+    rows = settled(rows.withColumns({"_n": F.count(F.lit(1)).over(over), "_back": F.row_number().over(over.orderBy(F.desc(P)))})
+                       .where(F.col("_n") >= min_rows))
+    model = (fit or (lambda x: _gbt_on(x, lags)))(rows.where(F.col("_back") > holdout).drop("_n", "_back"))
+    test = model.transform(rows.where(F.col("_back") <= holdout)).select(S, P, Y, F.col("prediction").alias("yhat"))
+    band = residual_interval(test).select(S, "resid_lower", "resid_upper")
+    fc = recursive_forecast(panel.join(rows.select(S).distinct(), S, "left_semi"), model, horizon, lags, weight)
+    return fc.join(band, S).select(S, P, "h", r6("yhat").alias("yhat"), r6(F.col("yhat") + F.col("resid_lower")).alias("yhat_lower"),
+                                   r6(F.col("yhat") + F.col("resid_upper")).alias("yhat_upper"))
 
 
 def series_diagnostics(panel: DataFrame, lags: int = LJUNG_BOX_LAGS) -> DataFrame:
@@ -381,16 +474,35 @@ def series_diagnostics(panel: DataFrame, lags: int = LJUNG_BOX_LAGS) -> DataFram
     return out.withColumn("advice", F.concat_ws(" ", msgs))
 
 
-def multi_metric_forecast(monthly: DataFrame, metrics: Sequence[str], horizon: int = 6,
-                          min_points: int = 19) -> DataFrame:
-    """every listed monthly KPI with at least ``min_points`` points
-    forecast by F4, pivoted back to one row per future month with
-    ``{metric}_yhat``, ``_lower`` and ``_upper`` columns (explicit pivot list)."""
+def best_model_forecast(panel: DataFrame, horizon: int = 6, test_frac: float = 0.2, min_points: int = 12, with_gbt: bool = False,
+                        places: int | None = None) -> DataFrame:
+    """Select, then forecast: each series by the model that F9 flags on its hold-out,
+    fitted on the whole series. (series, period, h, yhat, yhat_lower, yhat_upper, model).
+    The naive model's interval are the quantiles of its one-step errors (F7)."""
+    chosen = settled(select_forecast_model(panel, test_frac, min_points, with_gbt, places).where("chosen").select(S, "model"))
+    errors = residual_interval(naive_backtest(panel)).select(S, "resid_lower", "resid_upper")
+    naive = naive_forecast(panel, horizon).join(errors, S, "left").select(
+        S, P, "h", "yhat", (F.col("yhat") + F.col("resid_lower")).alias("yhat_lower"), (F.col("yhat") + F.col("resid_upper")).alias("yhat_upper"))
+    of_model = {"naive": naive, "seasonal_trend": seasonal_trend_forecast(panel, horizon, min_points, places)}
+    if with_gbt:
+        of_model["gbt"] = gbt_forecast(panel, horizon)
+    out = None
+    for name, fc in of_model.items():
+        own = fc.join(chosen.where(F.col("model") == name).select(S), S, "left_semi").select(
+            S, P, "h", *[r6(c).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")], F.lit(name).alias("model"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def multi_metric_forecast(monthly: DataFrame, metrics: Sequence[str], horizon: int = 6, min_points: int = 19, with_gbt: bool = False,
+                          places: int | None = None) -> DataFrame:
+    """every listed monthly KPI with at least ``min_points`` points, forecast by
+    the model that wins its hold-out, one row per future month with
+    ``{metric}_yhat``, ``_yhat_lower``, ``_yhat_upper`` and ``_model`` (null for a KPI
+    with too few points)."""
     long = monthly.select("period", *[F.col(m).cast("double").alias(m) for m in metrics]) \
                   .unpivot(["period"], list(metrics), S, Y).where(F.col(Y).isNotNull())
-    panel = long.select(S, F.col("period").alias(P), Y)
-    fc = seasonal_trend_forecast(panel, horizon, min_points)
-    wide = fc.groupBy(P).pivot(S, list(metrics)).agg(F.first("yhat").alias("yhat"),
-                                                     F.first("yhat_lower").alias("lower"),
-                                                     F.first("yhat_upper").alias("upper"))
-    return wide
+    enough = Window.partitionBy(S)
+    panel = settled(long.withColumn("_n", F.count("*").over(enough)).where(F.col("_n") >= min_points).select(S, F.col("period").alias(P), Y))
+    fc = best_model_forecast(panel, horizon, with_gbt=with_gbt, places=places)
+    return fc.groupBy(P).pivot(S, list(metrics)).agg(*[F.first(c).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper", "model")])

@@ -1,6 +1,6 @@
 """Registered F-queries (panel forecasting) and, where SQL can express them,
-their DuckDB oracles. Model fits (trend + season, boosted trees) are checked
-rows-only here and by accuracy tests against the naive model."""
+their DuckDB oracles. The boosted trees are checked rows-only here, and by
+tests with models whose forecasts can be worked out by hand."""
 
 from __future__ import annotations
 
@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import forecast as FC
 from ledgerlake.operators import products as R
 from ledgerlake.plans.metrics import monthly_metrics
-from ledgerlake.plans.registry import register
+from ledgerlake.plans import q_plans  # noqa: F401  (registers the monthly oracle first)
+from ledgerlake.plans import trendsql as Q
+from ledgerlake.plans.registry import ORACLES, register
 from ledgerlake.plans.sqlkit import month
 from ledgerlake.sources import tables as tb
 from ledgerlake.sources.tables import with_views as V
 
-MONTHLY_KPIS = ["revenue", "orders", "unique_customers", "aov", "new_customers", "returning_customers",
-                "churn_rate", "refund_amount", "cancel_amount"]
+MONTHLY_KPIS = ["revenue", "orders", "unique_customers", "aov", "returning_customers",
+                "refund_count", "refund_amount", "cancel_count", "cancel_amount"]
 
 
 def product_panel(spark, sf):
@@ -23,12 +25,6 @@ def product_panel(spark, sf):
     return FC.complete_panel(R.monthly_product_sales(tb.order_items(spark, sf)), "product", "month", "revenue")
 
 
-def country_panel(spark, sf):
-    """Delivery country x month revenue."""
-    o = tb.orders(spark, sf, with_country=True).where(F.col("country").isNotNull())
-    return FC.complete_panel(o, "country", "date", "total")
-
-
 _PANEL = f"""d AS (SELECT product AS series_id, {month()} AS period, round_even(sum(line_price), 2) AS y
        FROM items_v WHERE product IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2),
 e AS (SELECT max(period) AS hi FROM d),
@@ -143,32 +139,53 @@ def _f10(spark, sf):
     return FC.series_diagnostics(product_panel(spark, sf))
 
 
-@register("seasonal_trend_forecast")
+#: The panels hold money: sums of cents.
+CENTS = 2
+
+
+@register("seasonal_trend_forecast", V(f"""
+WITH {_PANEL}, {Q.trend_forecast(CENTS)}
+SELECT series_id, period, h, round_even(yhat, 6) AS yhat, round_even(yhat - band, 6) AS yhat_lower, round_even(yhat + band, 6) AS yhat_upper FROM trend""", "items_v"))
 def _f4(spark, sf):
-    return FC.seasonal_trend_forecast(product_panel(spark, sf), horizon=6, min_points=12)
+    return FC.seasonal_trend_forecast(product_panel(spark, sf), horizon=6, min_points=12, places=CENTS)
 
 
 @register("gbt_forecast")
 def _f5(spark, sf):
-    return FC.gbt_forecast(country_panel(spark, sf), horizon=6)
+    return FC.gbt_forecast(product_panel(spark, sf), horizon=6)
 
 
 @register("ensemble_forecast")
 def _f6(spark, sf):
-    return FC.ensemble_forecast(country_panel(spark, sf), horizon=6)
+    return FC.ensemble_forecast(product_panel(spark, sf), horizon=6)
 
 
 @register("select_forecast_model")
 def _f9(spark, sf):
-    return FC.select_forecast_model(product_panel(spark, sf), with_gbt=True)
+    return FC.select_forecast_model(product_panel(spark, sf), with_gbt=True, places=CENTS)
 
 
-@register("select_forecast_model_two")
+@register("select_forecast_model_two", V(f"WITH {_PANEL}, {Q.PT}, {Q.selection(CENTS)} SELECT * FROM sel", "items_v"))
 def _f9_two(spark, sf):
-    return FC.select_forecast_model(product_panel(spark, sf))
+    return FC.select_forecast_model(product_panel(spark, sf), places=CENTS)
+
+
+@register("best_model_forecast", V(f"""
+WITH {_PANEL}, {Q.trend_forecast(CENTS)}, {Q.selection(CENTS)}, {Q.best()} SELECT * FROM best""", "items_v"))
+def _f9_best(spark, sf):
+    return FC.best_model_forecast(product_panel(spark, sf), places=CENTS)
+
+
+def _kpi_sql() -> str:
+    monthly = ORACLES["monthly_metrics"]
+    long = " UNION ALL ".join(f"SELECT '{m}' AS series_id, period, {m}::DOUBLE AS y FROM mm WHERE {m} IS NOT NULL" for m in MONTHLY_KPIS)
+    wide = ", ".join(f"any_value({c}) FILTER (series_id = '{m}') AS {m}_{c}" for m in MONTHLY_KPIS for c in ("yhat", "yhat_lower", "yhat_upper", "model"))
+    return f"""WITH mm AS ({monthly}), long AS ({long}),
+panel AS (SELECT * FROM long WHERE series_id IN (SELECT series_id FROM long GROUP BY 1 HAVING count(*) >= 19)),
+{Q.trend_forecast(CENTS)}, {Q.selection(CENTS)}, {Q.best()} SELECT period, {wide} FROM best GROUP BY period"""
 
 
-@register("multi_metric_forecast")
+@register("multi_metric_forecast", _kpi_sql())
 def _f11(spark, sf):
     return FC.multi_metric_forecast(monthly_metrics(tb.orders(spark, sf), tb.orders(spark, sf, with_country=True)),
-                                    MONTHLY_KPIS)
+                                    MONTHLY_KPIS, places=CENTS)

@@ -94,3 +94,94 @@ def test_diagnostics_flags(spark):
     d = {r.series_id: r for r in FC.series_diagnostics(panel).collect()}
     assert d["seasonal"].seasonal and d["seasonal"].autocorrelated
     assert not d["trend"].stationary and "non-stationary" in d["trend"].advice
+
+
+class Doubling:
+    """A model whose forecasts can be worked out by hand: twice the last value."""
+
+    def __init__(self, seen):
+        self.seen = seen
+
+    def fit(self, rows):
+        self.seen.append({(r.series_id, r.period) for r in rows.collect()})
+        return self
+
+    def transform(self, df):
+        return df.withColumn("prediction", df["lag_1"] * 2.0)
+
+
+def test_folds_are_in_time_order(spark):
+    m = _months(14)
+    panel = _panel(spark, {"a": [(p, 1.0) for p in m], "b": [(p, 1.0) for p in m[9:]]})
+    assert FC.month_folds(panel, 5) == [(m[4], m[5]), (m[6], m[7]), (m[8], m[9]), (m[10], m[11]), (m[12], m[13])]
+    assert FC.month_folds(panel, 20) == [] and FC.month_folds(panel.limit(0), 5) == []
+
+
+def test_fold_errors_come_from_months_the_model_has_not_seen(spark):
+    m = _months(24)
+    y = {"a": [3.0 * i * i for i in range(24)], "b": [100.0 - i for i in range(24)]}
+    seen = []
+    got = FC.gbt_cv_errors(_panel(spark, {s: list(zip(m, v)) for s, v in y.items()}), n_folds=5, fit=Doubling(seen).fit).collect()
+    usable = m[12:]  # 12 rows a series have all lags: folds of 2 months, the first 2 months only train
+    assert {(r.series_id, r.period, r.fold) for r in got} == {(s, usable[2 + 2 * k + i], k) for s in "ab" for k in range(5) for i in (0, 1)}
+    for r in got:
+        i = m.index(r.period)
+        assert r.error == pytest.approx(y[r.series_id][i] - 2 * y[r.series_id][i - 1])
+    assert [max(p for _, p in s) for s in seen] == [usable[1 + 2 * k] for k in range(5)]
+
+
+def test_interval_of_the_trees_is_their_error_out_of_fold(spark, monkeypatch):
+    m = _months(24)
+    rng = np.random.default_rng(1)
+    y = rng.normal(100, 5, 24).tolist()
+    stub = Doubling([])
+    monkeypatch.setattr(FC, "_gbt_on", lambda rows, lags, *a: stub.fit(rows))
+    out = sorted(FC.gbt_forecast(_panel(spark, {"a": list(zip(m, y))}), horizon=2).collect(), key=lambda r: r.h)
+    sd = np.std([y[i] - 2 * y[i - 1] for i in range(14, 24)])
+    assert [r.yhat for r in out] == pytest.approx([2 * y[-1], 4 * y[-1]])
+    assert [r.yhat_upper - r.yhat for r in out] == pytest.approx([1.96 * sd] * 2, abs=1e-5)
+
+
+def test_blend_feeds_the_next_step_and_its_interval_is_the_hold_out(spark):
+    m = _months(36)
+    y = [10.0 + (i * 7) % 5 for i in range(36)]
+    seen = []
+    panel = _panel(spark, {"a": list(zip(m, y)), "short": list(zip(m[:20], y[:20]))})
+    out = sorted(FC.ensemble_forecast(panel, horizon=3, weight=0.8, fit=Doubling(seen).fit).collect(), key=lambda r: r.h)
+    want, last = [], y[-1]
+    for _ in range(3):
+        last = 0.8 * 2 * last + 0.2 * last
+        want.append(last)
+    assert [(r.series_id, r.period) for r in out] == [("a", p) for p in _months(39)[36:]]
+    assert [r.yhat for r in out] == pytest.approx(want)
+    errors = [y[i] - 2 * y[i - 1] for i in range(30, 36)]
+    lo, hi = np.quantile(errors, [0.025, 0.975])
+    assert [r.yhat_lower for r in out] == pytest.approx([w + lo for w in want], abs=1e-5)
+    assert [r.yhat_upper for r in out] == pytest.approx([w + hi for w in want], abs=1e-5)
+    assert seen == [{("a", p) for p in m[12:30]}]
+
+
+def test_elimination_of_dependent_columns_gives_zero(spark):
+    rows = [(2.0, 4.0, 8.0, 6.0, 12.0, 18.0)]  # the second regressor is twice the first
+    d = FC.eliminated(spark.createDataFrame(rows, "m00 double, m01 double, m11 double, r0 double, r1 double, yy double"), 2).first()
+    assert (d.b0, d.b1, d.sse) == (3.0, 0.0, 0.0)
+
+
+def test_sums_in_whole_units_do_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(5)
+    pts = [(p, round(v + rng.normal(0, 30), 2)) for p, v in _seasonal(50)]
+    a = FC.seasonal_trend_fit(_panel(spark, {"s": pts}), places=2).first()
+    b = FC.seasonal_trend_fit(_panel(spark, {"s": pts[::-1]}).repartition(7), places=2).first()
+    assert a == b
+    plain = FC.seasonal_trend_fit(_panel(spark, {"s": pts})).first()
+    assert [a.b0, a.b1, a.b2, a.b3, a.sigma] == pytest.approx([plain.b0, plain.b1, plain.b2, plain.b3, plain.sigma], rel=1e-9)
+
+
+def test_each_series_is_forecast_by_its_winner(spark):
+    walk = [(p, float((i * 37) % 11 + (1000 if i >= 24 else 0))) for i, p in enumerate(_months(36))]
+    panel = _panel(spark, {"season": _seasonal(36), "step": walk})
+    out = FC.best_model_forecast(panel, horizon=2).collect()
+    assert {(r.series_id, r.model) for r in out} == {("season", "seasonal_trend"), ("step", "naive")}
+    errors = [b[1] - a[1] for a, b in zip(walk, walk[1:])]
+    step = min((r for r in out if r.series_id == "step"), key=lambda r: r.h)
+    assert step.yhat == walk[-1][1] and step.yhat_lower == pytest.approx(walk[-1][1] + np.quantile(errors, 0.025), abs=1e-5)
