@@ -19,9 +19,9 @@ import numpy as np
 
 from ledgerlake.llm.textkit import runs, span_hashes, words
 
-TABLE = 2_000_000
-WORDS = 200_000
-BATCH_CHARS = 1 << 20
+TABLE = 1_000_000
+WORDS = 100_000
+BATCH_CHARS = 1 << 19
 _ENDS = frozenset(".,;:!?")
 
 

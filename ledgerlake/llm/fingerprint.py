@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.llm.common import partitions, range_bounds
-from ledgerlake.llm.textkit import mix64, runs, span_hashes, words
+from ledgerlake.llm.textkit import mix64, runs, span_hashes, tidy, words
 
 SAMPLES = 64
 BATCH_CHARS = 1 << 19
+#: (term, text) pairs whose variates are held at once.
+TERMS = 1 << 18
 
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
@@ -42,6 +44,22 @@ def _variates(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c, _uniform(h, 4)
 
 
+def _lower(best: np.ndarray, h: np.ndarray, d: np.ndarray, count: np.ndarray) -> None:
+    """Take the values of the terms ``h`` of the texts ``d`` into ``best``, the least so far."""
+    terms, back = np.unique(h, return_inverse=True)
+    r, c, b = _variates(terms)
+    once = c + r * b - r  # the value at weight 1, where the level is 0
+    value = once[back]
+    more = np.flatnonzero(count > 1)
+    if len(more):
+        k = back[more]
+        t = np.floor(np.log(count[more].astype(np.float32))[:, None] / r[k] + b[k])
+        value[more] = np.where(t == 0, once[k], c[k] - r[k] * (t - b[k]) - r[k])
+    heads = runs(d)
+    at = d[heads]
+    best[at] = np.minimum(best[at], np.minimum.reduceat(value, heads, axis=0))
+
+
 def signatures(texts: list[str]) -> np.ndarray:
     """One row of SAMPLES 16-bit places per text; a text without words has zeros."""
     raw = [t.encode("utf-8") for t in texts]
@@ -59,17 +77,11 @@ def signatures(texts: list[str]) -> np.ndarray:
     first = runs(d, h)
     count = np.diff(np.r_[first, len(h)])
     h, d = h[first], d[first]
-    terms, back = np.unique(h, return_inverse=True)
-    r, c, b = _variates(terms)
-    once = c + r * b - r  # the value at weight 1, where the level is 0
-    value = once[back]
-    more = np.flatnonzero(count > 1)
-    if len(more):
-        k = back[more]
-        t = np.floor(np.log(count[more].astype(np.float32))[:, None] / r[k] + b[k])
-        value[more] = np.where(t == 0, once[k], c[k] - r[k] * (t - b[k]) - r[k])
+    best = np.full((len(texts), SAMPLES), np.inf, np.float32)
+    for lo in range(0, len(h), TERMS):  # a very long text's terms come in several slices
+        _lower(best, h[lo:lo + TERMS], d[lo:lo + TERMS], count[lo:lo + TERMS])
     heads = runs(d)
-    best = np.minimum.reduceat(value, heads, axis=0)
+    best = best[d[heads]]
     bits = mix64(best.view(np.uint32).astype(np.uint64) + _SEED[0])
     out[d[heads]] = (bits >> np.uint64(48)).astype(np.uint16)
     return out
@@ -124,18 +136,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "text", "rank", "bucket", "ahead"]
     rows = src.withColumn("rank", rank).mapInArrow(spread, "doc_id long, text string, rank double, bucket int, ahead boolean")
-    rows = rows.repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "rank", "text")
+    rows = rows.repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "text")
 
     fields = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
               "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(group: list[tuple[int, str, str]]) -> pa.RecordBatch:
             """``group``: (doc_id, text, next text); the texts follow one another."""
             new = [edited(t, f) for _, t, f in group]
-            sig = signatures([t for _, t, _ in group] + [group[-1][2]])
-            new_sig = signatures(new)
-            own, nxt = sig[:-1], sig[1:]
+            sig = signatures([t for _, t, _ in group] + [group[-1][2], *new])  # in one call: they share most terms
+            own, nxt, new_sig = sig[:len(group)], sig[1:len(group) + 1], sig[len(group) + 1:]
             return pa.RecordBatch.from_arrays([
                 pa.array([g[0] for g in group], pa.int64()), pa.array([len(g[1]) for g in group], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in new]), pa.array(as_text(own)), pa.array(as_text(new_sig)),

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.common import FILTER_BITS, bitmap, fresh, in_bitmap, partitions, written
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.textkit import flat, mix64, pack_buckets, release, runs, shingle_sets, slices, unpack
+from ledgerlake.llm.textkit import flat, mix64, pack_buckets, release, runs, shingle_sets, slices, tidy, unpack
 
 SHINGLE = 5
 FLEX = 16
@@ -148,6 +148,7 @@ def sets_of(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """``extra`` columns with cls and n_shingles; documents without words have n_shingles 0."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra) + ", cls long, n_shingles long"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = flat(b.columns[-1])
@@ -162,6 +163,7 @@ def sets_of(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
 
 def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed rows by signature bucket, a class once per batch."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[dict]) -> pa.RecordBatch:
             cols = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -188,7 +190,6 @@ def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
                     parts, size = [], 0
         if parts:
             yield out(parts)
-        release()
 
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
@@ -196,6 +197,7 @@ def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
 def _shared(packed: DataFrame, buckets: int) -> DataFrame:
     """Rows of the groups in which some probe meets another class's index row, with
     the number of index rows each would meet: c0 exactly, c1 by one deletion."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [unpack(x.as_py()) for b in batches for x in b.column(0)]
         if not tables:
@@ -236,7 +238,6 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
             rows.column("units").combine_chunks(), pa.array(own[use]), pa.array(kind[use].astype(np.int32)), pa.array(flexible[use]), pa.array(c0[use]), pa.array(c1[use])],
             names=["sig", "cls", "n", "seg", "units", "own", "kind", "flexible", "c0", "c1"])
         del t, rows
-        release()
 
     return packed.repartitionById(buckets, F.col("bucket")).select("blob").mapInArrow(
         run, "sig long, cls long, n int, seg int, units int, own boolean, kind int, flexible boolean, c0 long, c1 long")
@@ -294,6 +295,7 @@ def _chosen_sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     bit = F.col("cls").bitwiseAND((1 << FILTER_BITS) - 1)
     shared = spark.sparkContext.broadcast(bitmap(candidates.select(bit.alias("bit")), "bit"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = flat(b.column(0))
@@ -322,6 +324,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -397,6 +400,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _where_bitmap(docs: DataFrame, hashed: str, bits, inside: bool) -> DataFrame:
     """Rows whose ``hashed`` (a long) is, or is not, in the bitmap."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = in_bitmap(bits.value, b.column(b.num_columns - 1).to_numpy().view(np.uint64))

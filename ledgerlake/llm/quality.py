@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.llm.common import fresh
-from ledgerlake.llm.textkit import flat, runs, slices, span_hashes, words
+from ledgerlake.llm.textkit import flat, runs, slices, span_hashes, tidy, words
 
 MAX_TRAIN = 20_000
 FEATURES = ("bytes", "words", "mean_word", "longest_word", "upper", "digit", "punctuation", "pipe", "symbol", "newline",
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fores
     sample = (known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
                    .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = flat(b.column(2))
@@ -202,6 +203,7 @@ def score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(name, T.DoubleType())])
     at = len(rest)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = flat(b.column(at))

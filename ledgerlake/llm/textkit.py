@@ -9,7 +9,9 @@ length in; two different words or shingles meet with probability 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SLOT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                   0x589965CC75374CC3], dtype=np.uint64) | np.uint64(1)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -151,9 +153,30 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def release() -> None:
-    """Hand Arrow's free memory back, so that an idle worker keeps little."""
+    """Hand free memory back, Arrow's and the C library's, and let the powers of a very
+    long text go, so that an idle worker keeps little."""
+    if len(_POW["up"]) > SLICE_BYTES + 1:
+        _POW.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
     pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task's function that ends with ``release``."""
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return tidied
 
 
 def pack(batch: pa.RecordBatch) -> bytes:

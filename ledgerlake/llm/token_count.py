@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.chunks import BATCH_CHARS, ChunkTable, WordSplitter
 from ledgerlake.llm.common import fresh
-from ledgerlake.llm.textkit import flat, slices
+from ledgerlake.llm.textkit import flat, slices, tidy
 
 
 @functools.cache
@@ -114,6 +114,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     rest = [c for c in docs.columns if c != text and c not in results]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, t) for c, t in results.items()])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = counter(vocabulary)
         for b in batches:

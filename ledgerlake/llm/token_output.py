@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.chunks import BATCH_CHARS, ChunkTable, WordSplitter
 from ledgerlake.llm.common import partitions, range_bounds, written
-from ledgerlake.llm.textkit import flat, slices
+from ledgerlake.llm.textkit import flat, slices, tidy
 from ledgerlake.llm.token_count import byte_symbols
 
 BLOCK_IDS = 1 << 18
@@ -51,6 +51,7 @@ class IdEncoder:
         self.cut = WordSplitter(path)
         self.whole = Tokenizer.from_file(path)
         self.marker = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in self.cut.spec["added_tokens"]}
+        self.cut.spec = None  # the parsed file is large and not needed again
         symbols, tokenize = dict(enumerate(byte_symbols())), self.whole.model.tokenize
 
         def of_word(w: str) -> list[int]:
@@ -125,6 +126,7 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[float], width: str) -> DataFrame:
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for whole in batches:
@@ -147,6 +149,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _frequencies(rows: DataFrame, width: str) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
@@ -174,6 +177,7 @@ def _blocks(rows: DataFrame, ranks, width: str) -> DataFrame:
     arrow = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("doc_id", pa.list_(pa.int64())),
                        ("n", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, size, bucket, first = [], [], 0, -1, 0
         for b in batches:
@@ -237,6 +241,7 @@ def read_token_ids(blocks: DataFrame, table: DataFrame, keep_ids: bool = False)
         "bucket", "first", (F.col("inside") + F.col("base")).alias("offset"))
     schema = "bucket int, first long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -259,8 +264,3 @@ def read_token_ids(blocks: DataFrame, table: DataFrame, keep_ids: bool = False)
 def token_id_output(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> DataFrame:
     """Write the file sets and describe each document from what is read back."""
     return read_token_ids(*write_token_ids(docs, vocabulary, end_id))
-
-
-def ranked_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """A written rank table by its path."""
-    return spark.read.parquet(path)

@@ -387,7 +387,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     r = con.execute(Q.ORACLES[name])
     cols = [c[0] for c in r.description]
