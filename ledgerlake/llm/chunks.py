@@ -74,8 +74,8 @@ class WordSplitter:
 class ChunkTable:
     """Values (a few uint32) of chunks, worked out once per Python worker."""
 
-    def __init__(self, of_word: Callable[[str], list[int]], split: Callable[[str], list[str]]):
-        self.of_word, self.split = of_word, split
+    def __init__(self, of_word: Callable[[str], list[int]], split: Callable[[str], list[str]], table: int = TABLE, words: int = WORDS):
+        self.of_word, self.split, self.table, self.words = of_word, split, table, words
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
         self.clear()
@@ -90,7 +90,7 @@ class ChunkTable:
             got = self.old.get(w)
             if got is None:
                 got = self.of_word(w)
-            if len(self.young) >= WORDS:
+            if len(self.young) >= self.words:
                 self.old, self.young = self.young, {}
             self.young[w] = got
         return got
@@ -105,7 +105,7 @@ class ChunkTable:
         i = np.minimum(np.searchsorted(self.key, kinds), max(len(self.key) - 1, 0))
         known = self.key[i] == kinds if len(self.key) else np.zeros(len(kinds), bool)
         if not known.all():
-            if len(self.key) + (~known).sum() > TABLE:
+            if len(self.key) + (~known).sum() > self.table:
                 self.clear()
                 known[:] = False
             new = np.flatnonzero(~known)

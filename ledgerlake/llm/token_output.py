@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.chunks import BATCH_CHARS, ChunkTable, WordSplitter
+from ledgerlake.llm.chunks import BATCH_CHARS, TABLE, WORDS, ChunkTable, WordSplitter
 from ledgerlake.llm.common import partitions, range_bounds, written
 from ledgerlake.llm.textkit import flat, slices, tidy
 from ledgerlake.llm.token_count import byte_symbols
@@ -44,7 +44,7 @@ class IdEncoder:
     case takes out of NFC goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table: int = TABLE, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,7 +59,7 @@ class IdEncoder:
                 w = w.encode("utf-8").decode("latin-1").translate(symbols)
             return [t.id for t in tokenize(w)]
 
-        self.table = ChunkTable(of_word, self.cut.words)
+        self.table = ChunkTable(of_word, self.cut.words, table, words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
@@ -85,9 +85,9 @@ class IdEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> IdEncoder:
+def encoder(path: str, memo: tuple[int, int] = (TABLE, WORDS)) -> IdEncoder:
     """One encoder per Python worker and file."""
-    return IdEncoder(path)
+    return IdEncoder(path, *memo)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -123,12 +123,12 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw[take]).view("<u4").ravel()[:n]
 
 
-def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[float], width: str) -> DataFrame:
+def _encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[float], width: str, memo: tuple[int, int]) -> DataFrame:
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, memo)
         for whole in batches:
             for i, j in slices(flat(whole.column(1))[1], BATCH_CHARS):
                 b = whole.slice(i, j - i)
@@ -196,8 +196,10 @@ def _blocks(rows: DataFrame, ranks, width: str) -> DataFrame:
     return rows.select("doc_id", "bucket", "ids", "pos").mapInArrow(run, schema)
 
 
-def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> tuple[DataFrame, DataFrame]:
-    """Encode every text and write the file sets into the shared folder.
+def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1,
+                    memo: tuple[int, int] = (TABLE, WORDS)) -> tuple[DataFrame, DataFrame]:
+    """Encode every text and write the file sets into the shared folder. ``memo``
+    bounds the chunks and the words that a worker remembers; no result depends on it.
 
     Returns (blocks, rank table) as read back from the files. A null text is
     empty (it still gets ``end_id``); a null doc_id sorts before all others;
@@ -211,7 +213,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1) ->
     n = partitions(spark)
     bounds = range_bounds(docs, "doc_id", n)
     width = "<u4" if (end_id or 0) >= 1 << 16 else id_type(vocabulary)
-    rows = _encoded(docs, vocabulary, end_id, bounds, width)
+    rows = _encoded(docs, vocabulary, end_id, bounds, width, memo)
     rows = _numbered(rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids"))
     rows = written(rows, "token-ids")
     table = written(_frequencies(rows, width).select("id", F.row_number().over(
@@ -261,6 +263,6 @@ def read_token_ids(blocks: DataFrame, table: DataFrame, keep_ids: bool = False)
                       *["ids"] * keep_ids)
 
 
-def token_id_output(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> DataFrame:
+def token_id_output(docs: DataFrame, vocabulary: str, end_id: int | None = 1, memo: tuple[int, int] = (TABLE, WORDS)) -> DataFrame:
     """Write the file sets and describe each document from what is read back."""
-    return read_token_ids(*write_token_ids(docs, vocabulary, end_id))
+    return read_token_ids(*write_token_ids(docs, vocabulary, end_id, memo))
