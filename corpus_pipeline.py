@@ -18,6 +18,8 @@ from ledgerlake.llm.queries import vocabulary
 #: Tokenizer and classifier cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 LEAST_SCORE = 0.3
+#: Chunks and words that a tokenising worker remembers: the executors are full from the stages before.
+MEMO = (200_000, 20_000)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token ids and describe each document from the files."""
     prepare(spark)
-    return token_output.token_id_output(docs, vocabulary())
+    return token_output.token_id_output(docs, vocabulary(), memo=MEMO)
 
 
 STAGES = [
