@@ -94,6 +94,14 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def fresh_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, lengthened until no column begins with it (case aside), so that any
+    name made from it is new."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def range_bounds(df: DataFrame, col: str, n: int) -> list[float]:
     """At most n - 1 cut points that split the values of ``col`` about evenly
     (approximate quantiles; only the balance depends on them)."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import broadcast_if_small, fresh, written
+from ledgerlake.llm.common import broadcast_if_small, fresh_prefix, written
 
 SHINGLE, PERCENT = 5, 80
 SMALL = 200_000
@@ -83,12 +83,13 @@ def scan(docs: DataFrame, items: DataFrame, prefix: str = "") -> DataFrame:
     item_id is counted but not listed. Repeated rows are judged alike; all
     columns pass through.
     """
-    per = contained_items(docs, items).groupBy("text_hash").agg(
-        F.count("*").alias("_n"), F.array_sort(F.collect_set("item_id")).alias("_i"), F.max("share").alias("_s"))
     names = [prefix + c for c in ("n_items", "items", "share")]
     rest = [c for c in docs.columns if c not in names]
-    key = fresh(rest, "text_hash_")
+    tag = fresh_prefix(rest, "found_")
+    key, n, ids, share = (tag + c for c in ("text_hash", "n", "ids", "share"))
+    per = contained_items(docs, items).groupBy("text_hash").agg(
+        F.count("*").alias(n), F.array_sort(F.collect_set("item_id")).alias(ids), F.max("share").alias(share))
     per = broadcast_if_small(written(per.withColumnRenamed("text_hash", key), "leaks"), SMALL)
     return docs.select(*rest).withColumn(key, F.xxhash64("text")).join(per, key, "left").select(
-        *rest, F.coalesce("_n", F.lit(0)).cast("long").alias(names[0]),
-        F.coalesce("_i", F.array().cast(per.schema["_i"].dataType)).alias(names[1]), F.coalesce("_s", F.lit(0.0)).alias(names[2]))
+        *rest, F.coalesce(n, F.lit(0)).cast("long").alias(names[0]),
+        F.coalesce(ids, F.array().cast(per.schema[ids].dataType)).alias(names[1]), F.coalesce(share, F.lit(0.0)).alias(names[2]))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import NON_WORD, broadcast_if_small, fresh, prefix_sums, word_count, written
+from ledgerlake.llm.common import NON_WORD, broadcast_if_small, fresh_prefix, prefix_sums, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, BLOCK, SEED = 1.5, 2, 256, 17
@@ -125,14 +125,16 @@ def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS, share: float = SHARE,
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each time a document is taken, with the
     columns of ``docs``. At most one document of a source is taken in part; that
-    row's text holds its first words joined by blanks (and n_chars its length)."""
+    row's text holds its first words joined by blanks (and n_chars, if there, its length)."""
     cols = docs.columns
-    tag = fresh(cols, "mix_")
+    tag = fresh_prefix(cols, "mix_")
     out = mix(docs, cols, prefix=tag, **options)
     size, taken, turn = F.col(tag + "size"), F.col(tag + "taken"), F.col(tag + "turn")
     out = out.where(taken > 0).withColumn(tag + "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((taken - 1) / size))))
     left = F.least(size, taken - turn * size)
     cut = F.array_join(F.slice(F.split(F.regexp_replace("text", "^" + NON_WORD, ""), NON_WORD), F.lit(1), left.cast("int")), " ")
     text = F.when(left < size, cut).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(left < size, F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    new = {"text": text}
+    if "n_chars" in cols:
+        new["n_chars"] = F.when(left < size, F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in cols])

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import FILTER_BITS, bitmap, fresh, in_bitmap, partitions, written
+from ledgerlake.llm.common import FILTER_BITS, bitmap, fresh_prefix, in_bitmap, partitions, written
 from ledgerlake.llm.graph import components
 from ledgerlake.llm.textkit import flat, mix64, pack_buckets, release, runs, shingle_sets, slices, tidy, unpack
 
@@ -418,7 +418,7 @@ def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     Texts that are in no group stay where they are: a bitmap of fixed size tells
     them apart, and only the others are joined with the decisions.
     """
-    tag = fresh(docs.columns, "join_")
+    tag = fresh_prefix(docs.columns, "join_")
     th, row = tag + "th", tag + "row"
     keyed = docs.withColumn(th, F.xxhash64("text")).withColumn(row, F.xxhash64("doc_id", th))
     sets = written(sets_of(keyed.select(F.col("doc_id").cast("long").alias("id"), F.col(th).alias("th"), F.col(row).alias("row"), "text"),
