@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontaminate, mixing, ngram_join, quality, token_output
-from ledgerlake.llm.common import fresh, prepare, table, written
+from ledgerlake.llm.common import fresh, fresh_prefix, prepare, table, written
 from ledgerlake.llm.queries import vocabulary
 
 #: Tokenizer and classifier cannot be said in SQL; tests hold the stages against brute force.
@@ -40,7 +40,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold 80 % of a benchmark item's shingles."""
     prepare(spark)
-    tag = fresh(docs.columns, "leak_")
+    tag = fresh_prefix(docs.columns, "leak_")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), tag)
     return found.where(F.col(tag + "n_items") == 0).select(*docs.columns)
 
