@@ -30,7 +30,9 @@ METRIC_RULES = [
     (["clv"], "clv", "The estimated Customer Lifetime Value (CLV) is %.2f.", False),
 ]
 METRIC_FALLBACK = "I don't have a direct metric for that, can you be more specific?"
-OVERVIEW_TEXT = "This dataset and analysis files contain metrics related to e-commerce performance."
+
+# The lead document of an analysis folder, in our own words.
+OVERVIEW_TEXT = "The tables below describe a shop: its orders, carts, customers, products and stock, and figures drawn from them."
 
 
 def n_chunks(length, size: int, overlap: int = 0):
