@@ -2,17 +2,21 @@
 
 No word of the split pattern crosses white space, so what a text yields (token
 ids, or a token count) is what its chunks yield in a row. A batch is cut and
-hashed in NumPy; each distinct chunk is looked up once in a table of sorted
-64-bit hashes that lives as long as the Python worker, and only chunks that are
-new to the worker are worked out. The table is bounded: it is emptied when it
-holds ``TABLE`` chunks, which costs time and changes no result.
+hashed in NumPy at ASCII white space alone; each distinct chunk is looked up once
+in a table of sorted 64-bit hashes that lives as long as the Python worker, and
+only chunks that are new to the worker are worked out. The table is bounded: it
+is emptied when it holds ``TABLE`` chunks, which costs time and changes no result.
+
+A chunk of printable ASCII is lower-cased and split here; any other new chunk is
+normalised and split by the tokenizers library, so that its Unicode tables decide.
+Cutting first is safe: ASCII white space is a starter that composes with nothing.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -27,10 +31,13 @@ _ENDS = frozenset(".,;:!?")
 
 class WordSplitter:
     """Cuts texts as a vocabulary file with NFC, white-space folding, lower case
-    and a split pattern does; special strings of the file stand alone."""
+    and a split pattern does; special strings of the file stand alone. Words are
+    strings of the file's byte symbols (printable ASCII stands for itself)."""
 
     def __init__(self, path: str):
         import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
@@ -39,37 +46,26 @@ class WordSplitter:
         if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or level["type"] != "ByteLevel":
             raise ValueError(f"{path}: only word-end BPE files with NFC and lower case are supported")
         self.split = regex.compile(split["pattern"]["Regex"]).findall
+        whole = Tokenizer.from_file(path)
+        self.normalize, self.pre_tokenize = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         specials = [t["content"] for t in self.spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
-        #: White space for str.split(), but not for the file's \s.
-        self.odd = re.compile("[\x1c-\x1f]")
 
-    def words(self, text: str) -> list[str]:
-        """The pattern's matches; the two plainest shapes need no pattern."""
-        if text.isalpha():
-            return [text]
-        if text[-1:] in _ENDS and text[:-1].isalpha():
-            return [text[:-1], text[-1]]
-        return self.split(text)
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk; the two plainest shapes need no pattern."""
+        if not (chunk.isascii() and chunk.isprintable()):
+            return [w for w, _ in self.pre_tokenize(self.normalize(chunk))]
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in _ENDS and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.split(low)
 
     def pieces(self, text: str) -> list[str]:
         """The text cut at special strings; these have odd places."""
         return self.special.split(text) if "<" in text else [text]
 
-    @staticmethod
-    def normal(piece: str) -> str:
-        """NFC and lower case, character by character (no final-sigma rule)."""
-        if piece.isascii():
-            return piece.lower()
-        return unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-
-    def folded(self, piece: str) -> str:
-        """Normal form in which only ASCII blanks separate chunks."""
-        low = self.normal(piece)
-        if self.odd.search(low):
-            return " ".join(self.words(low))
-        return low if low.isascii() else " ".join(low.split())
-
 
 class ChunkTable:
     """Values (a few uint32) of chunks, worked out once per Python worker."""
@@ -124,27 +120,27 @@ class ChunkTable:
             i = np.searchsorted(self.key, kinds)
         return self.at[i][back], self.size[i][back]
 
-    def spans(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place and size of the values of each chunk, and its text's number."""
-        raw = [t.encode("utf-8") for t in folded]
+        raw = [(t.lower() if t.isascii() else t).encode("utf-8") for t in texts]
         offs = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(r) for r in raw], out=offs[1:])
         buf = np.frombuffer(b"".join(raw), np.uint8)
         s, e, d = words(buf, offs)
-        at, size = self.places(buf, s, e, span_hashes(buf, s, e))
+        at, size = self.places(buf, s, e, span_hashes(buf, s, e, lower=False))
         return at, size.astype(np.int64), d
 
-    def counts(self, folded: list[str]) -> np.ndarray:
+    def counts(self, texts: list[str]) -> np.ndarray:
         """The sum of the first values of each text's chunks' words."""
-        at, size, d = self.spans(folded)
+        at, size, d = self.spans(texts)
         total = np.r_[0, np.cumsum(self.flat[_ranges(at, size)].astype(np.int64))]
         ends = np.cumsum(size)
-        return np.bincount(d, total[ends] - total[ends - size], len(folded)).astype(np.int64)
+        return np.bincount(d, total[ends] - total[ends - size], len(texts)).astype(np.int64)
 
-    def values(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All values in order, and the end of each text's."""
-        at, size, d = self.spans(folded)
-        return self.flat[_ranges(at, size)], np.cumsum(np.bincount(d, size, len(folded))).astype(np.int64)
+        at, size, d = self.spans(texts)
+        return self.flat[_ranges(at, size)], np.cumsum(np.bincount(d, size, len(texts))).astype(np.int64)
 
 
 def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:

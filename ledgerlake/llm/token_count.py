@@ -1,7 +1,7 @@
 """Token counts by heap-and-linked-list byte-pair merging.
 
-A text is normalised and cut into words as the vocabulary file says. For each
-distinct word, its byte symbols stand in a doubly linked list and all adjacent
+A text is normalised and cut into words of byte symbols as the vocabulary file
+says. For each distinct word, its symbols stand in a doubly linked list and all adjacent
 pairs that have a rank wait in a heap; the lowest rank is popped and merged
 until the heap is empty. The count is the number of initial symbols less the
 merges made; no identifier is ever produced. Each Python worker merges a distinct
@@ -25,21 +25,6 @@ from ledgerlake.llm.common import fresh
 from ledgerlake.llm.textkit import flat, slices, tidy
 
 
-@functools.cache
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = [""] * 256
-    for b in kept:
-        out[b] = chr(b)
-    spare = 256
-    for b in range(256):
-        if not out[b]:
-            out[b] = chr(spare)
-            spare += 1
-    return out
-
-
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Symbols that remain when pairs are merged lowest rank first, leftmost first."""
     n = len(symbols)
@@ -75,11 +60,11 @@ class TokenCounter:
         model = self.cut.spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.symbols = byte_symbols()
+        self.cut.spec = None  # the parsed file is large and not needed again
         self.table = ChunkTable(lambda w: [self.word(w)], self.cut.words)
 
     def word(self, w: str) -> int:
-        s = [self.symbols[b] for b in w.encode("utf-8")]
+        s = list(w)
         s[-1] += self.end
         return merge_count(s, self.ranks)
 
@@ -91,7 +76,7 @@ class TokenCounter:
             cut = self.cut.pieces(t)
             extra[i] = len(cut) // 2
             for p in cut[::2]:
-                parts.append(self.cut.folded(p))
+                parts.append(p)
                 owner.append(i)
         return extra + np.bincount(np.array(owner, np.int64), self.table.counts(parts), len(texts)).astype(np.int64)
 

@@ -13,8 +13,6 @@ its four codes and the place of each of their 16 bytes.
 from __future__ import annotations
 
 import functools
-import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +24,6 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.chunks import BATCH_CHARS, TABLE, WORDS, ChunkTable, WordSplitter
 from ledgerlake.llm.common import partitions, range_bounds, written
 from ledgerlake.llm.textkit import flat, slices, tidy
-from ledgerlake.llm.token_count import byte_symbols
 
 BLOCK_IDS = 1 << 18
 
@@ -40,48 +37,30 @@ def id_type(vocabulary: str) -> str:
 class IdEncoder:
     """The tokenizers library, asked once for each distinct word.
 
-    Special strings are cut out first and have their own id; a text that lower
-    case takes out of NFC goes to the library whole.
+    Special strings are cut out first and have their own id.
     """
 
     def __init__(self, path: str, table: int = TABLE, words: int = WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.cut = WordSplitter(path)
         self.whole = Tokenizer.from_file(path)
         self.marker = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in self.cut.spec["added_tokens"]}
         self.cut.spec = None  # the parsed file is large and not needed again
-        symbols, tokenize = dict(enumerate(byte_symbols())), self.whole.model.tokenize
-
-        def of_word(w: str) -> list[int]:
-            if not (w.isascii() and w.isalnum()):  # these stand for themselves
-                w = w.encode("utf-8").decode("latin-1").translate(symbols)
-            return [t.id for t in tokenize(w)]
-
-        self.table = ChunkTable(of_word, self.cut.words, table, words)
+        tokenize = self.whole.model.tokenize
+        self.table = ChunkTable(lambda w: [t.id for t in tokenize(w)], self.cut.words, table, words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
         parts, plans = [], []
         for t in texts:
             cut = self.cut.pieces(t)
-            low = [self.cut.folded(p) for p in cut[::2]]
-            if all(p.isascii() or unicodedata.is_normalized("NFC", p) for p in low):
-                plans.append((len(parts), cut))
-                parts += low
-            else:
-                plans.append((-1, [t]))
+            plans.append((len(parts), cut))
+            parts += cut[::2]
         ids, ends = self.table.values(parts)
         ends = np.r_[0, ends]
-        out = []
-        for at, cut in plans:
-            if at < 0:
-                out.append(np.asarray(self.whole.encode(cut[0], add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(self.marker[p] if k % 2 else ids[ends[at + k // 2]:ends[at + k // 2 + 1]].tobytes()
-                                    for k, p in enumerate(cut)))
-        return out
+        return [b"".join(self.marker[p] if k % 2 else ids[ends[at + k // 2]:ends[at + k // 2 + 1]].tobytes()
+                         for k, p in enumerate(cut)) for at, cut in plans]
 
 
 @functools.cache
