@@ -2,9 +2,7 @@
 
 Chunking is a per-row ``explode(sequence)`` + ``substring``: every document
 is split in full, each row independently, so any document size works.
-Nearest-vector search scores every vector against a bounded, size-checked
-set of query vectors carried as array literals (no join at all); top-k per
-query is a salted two-round ranking.
+Nearest-vector search (X3) is in ``vectors``.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import r2, r6, xavg, xsum
-from ledgerlake.operators.common import top_per_group
 
 # Routing keywords and answer phrases of the shop's question router.
 METRIC_KEYWORDS = ["revenue", "orders", "customers", "average order value", "aov", "clv", "kpi",
@@ -74,43 +71,6 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
             .select(label, F.transform("_pm", lambda s: s["m"]).alias("centroid"))
 
 
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_id: str = "query_id",
-                query_vec: str = "query_vec", vec_id: str = "vec_id", vec: str = "embedding",
-                max_queries: int = 256, max_batches: int = 64) -> DataFrame:
-    """The k vectors nearest (cosine) to every query vector.
-
-    The query side is checked to hold at most ``max_queries`` rows per
-    batch; each batch travels as array literals inside one projection over
-    the vector table (a single scan, no join), and batches are unioned, so
-    any number of queries is handled exactly.
-    """
-    n = queries.count()
-    if n > max_batches * max_queries:
-        raise ValueError(f"{n} query vectors exceed {max_batches} batches of {max_queries}")
-    qs = queries.select(query_id, F.col(query_vec).cast("array<double>").alias("_q")).collect()
-    v = vectors.select(vec_id, F.col(vec).cast("array<double>").alias("_v"))
-    v = v.withColumn("_vn", F.sqrt(_dot(F.col("_v"), F.col("_v"))))
-    parts = []
-    for start in range(0, len(qs), max_queries):
-        batch = qs[start:start + max_queries]
-        structs = [F.struct(F.lit(r[0]).alias("qid"),
-                            F.array(*[F.lit(float(x)) for x in r[1]]).alias("qv")) for r in batch]
-        s = v.select(vec_id, "_v", "_vn", F.explode(F.array(*structs)).alias("_qs"))
-        qv = F.col("_qs.qv")
-        score = _dot(F.col("_v"), qv) / (F.col("_vn") * F.sqrt(_dot(qv, qv)))
-        parts.append(s.select(F.col("_qs.qid").alias(query_id), vec_id, score.alias("score")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    top = top_per_group(scored, [query_id], [F.col("score").desc_nulls_last(), F.col(vec_id).asc()], k,
-                        salt_on=vec_id, rank_col="rank")
-    return top.select(query_id, vec_id, r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
 def _any_contains(text_col, words: Sequence[str]):
     c = F.lit(False)
     for w in words:

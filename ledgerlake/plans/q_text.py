@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import basic as B
 from ledgerlake.operators import text as X
+from ledgerlake.operators import vectors as N
 from ledgerlake.plans.metrics import kpi_table
 from ledgerlake.plans.registry import register
 from ledgerlake.sources import tables as tb
@@ -57,7 +58,31 @@ SELECT query_id, vec_id, round_even(score, 6) AS score, rank FROM r WHERE rank <
 def _x3(spark, sf):
     emb = tb.read_table(spark, sf, "embeddings")
     q = X.label_centroids(emb).select(F.col("label").alias("query_id"), F.col("centroid").alias("query_vec"))
-    return X.vector_topk(emb, q, k=5)
+    return N.vector_topk(emb, q, k=5)
+
+
+def _rows_as_queries(emb):
+    return emb.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@register("vector_topk_rows", """
+WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, sum(v.x * q.x) AS dot FROM v JOIN v AS q ON v.pos = q.pos AND q.vec_id % 20 = 0
+      GROUP BY 1, 2),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),
+s AS (SELECT query_id, d.vec_id, dot / (a.n * b.n) AS score FROM d JOIN vn AS a ON a.vec_id = d.vec_id JOIN vn AS b ON b.vec_id = query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round_even(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def _x3_rows(spark, sf):
+    emb = tb.read_table(spark, sf, "embeddings")
+    return N.vector_topk(emb, _rows_as_queries(emb), k=5)
+
+
+@register("vector_topk_bucketed")
+def _x3_bucketed(spark, sf):
+    # The given vectors lie nearly at random, so few planes and more tables are needed.
+    emb = tb.read_table(spark, sf, "embeddings")
+    return N.vector_topk_bucketed(emb, _rows_as_queries(emb), k=5, tables=6, bits=4)
 
 
 def _any(words):
