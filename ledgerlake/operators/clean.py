@@ -192,26 +192,31 @@ def quality_score(checks: DataFrame) -> DataFrame:
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """Per column dtype, rows, nulls and, for numeric columns, mean,
-    std, min and max (one aggregation over the table)."""
-    num = {f.name for f in df.schema.fields
-           if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal")}
+    """Per column dtype, rows, nulls and, for numeric columns, count,
+    mean, std, min, quartiles (exact) and max: one aggregation over the table
+    and the quartiles of all columns in one scalar subquery."""
+    num = [f.name for f in df.schema.fields
+           if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal")]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in df.columns:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"))
         if c in num:
             x = F.col(c).cast("double")
-            aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
+            aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
                      F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     a = df.agg(*aggs)
+    if num:
+        a = a.withColumn("_q", quantiles_of(df, num, (0.25, 0.5, 0.75)))
     dtypes = dict(df.dtypes)
     rows = []
     for c in df.columns:
-        st = [F.col(f"{c}__{s}") if c in num else F.lit(None).cast("double") for s in ("mean", "std", "min", "max")]
+        st = {s: F.col(f"{c}__{s}") if c in num else F.lit(None).cast("double") for s in ("mean", "std", "min", "max")}
+        q = [F.col("_q")[c][i] if c in num else F.lit(None).cast("double") for i in range(3)]
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
                              F.col("_rows").alias("rows"), F.col(f"{c}__nulls").alias("nulls"),
-                             r6(st[0]).alias("mean"), r6(st[1]).alias("std"), r6(st[2]).alias("min"),
-                             r6(st[3]).alias("max")))
+                             (F.col(f"{c}__count") if c in num else F.lit(None).cast("long")).alias("count"),
+                             r6(st["mean"]).alias("mean"), r6(st["std"]).alias("std"), r6(st["min"]).alias("min"),
+                             r6(q[0]).alias("q1"), r6(q[1]).alias("median"), r6(q[2]).alias("q3"), r6(st["max"]).alias("max")))
     return a.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import clean as P
 from ledgerlake.operators import customers as C
+from ledgerlake.operators import rules as R
 from ledgerlake.plans import pipeline as PL
 from ledgerlake.plans.registry import register
 from ledgerlake.sources import exports as X
@@ -120,6 +121,66 @@ def _p13(spark, sf):
     return P.validate_rows(tb.orders(spark, sf), _order_rules())
 
 
+def _broken_sql(rules, as_of):
+    """(message, condition) of each rule in DuckDB's words."""
+    out = []
+    for c, kind, bound in rules:
+        optional, kind = kind.startswith("optional "), kind.removeprefix("optional ")
+        text = f"CAST({c} AS VARCHAR)"
+        number = f"TRY_CAST({text} AS DECIMAL(38, 6))"
+        value = {"text": text, "date": f"TRY_CAST({text} AS TIMESTAMP)", "amount": number,
+                 "integer": f"CASE WHEN {number} = floor({number}) THEN {number} END"}[kind]
+        out.append((f"{c} must be {'an' if kind in ('integer', 'amount') else 'a'} {kind}",
+                    f"({value}) IS NULL AND {c} IS NOT NULL" if optional else f"({value}) IS NULL"))
+        if bound:
+            limit = bound.replace("as_of", f"TIMESTAMP '{as_of}'")
+            out.append((f"{c} {R.MEANING[bound]}", f"NOT coalesce(({value}) {limit}, true)"))
+    return out
+
+
+def _validate_sql(view, rules, keys, as_of):
+    cases = ", ".join(f"CASE WHEN {b} THEN '{m}' END" for m, b in _broken_sql(rules, as_of))
+    return V(f"""WITH r AS (SELECT {keys}, list_filter([{cases}], lambda x: x IS NOT NULL) AS e FROM {view})
+SELECT {keys}, len(e) = 0 AS ok, array_to_string(e, '; ') AS errors FROM r""", view)
+
+
+def _report_sql(tables):
+    parts = [f"SELECT '{name}' AS \"table\", '{m}' AS rule, count(*) AS n_rows, count(*) FILTER (WHERE {b}) AS n_broken FROM {view}"
+             for name, view, rules, as_of in tables for m, b in _broken_sql(rules, as_of)]
+    return V("\nUNION ALL ".join(parts), *[view for _, view, _, _ in tables])
+
+
+# The day of validation lies inside the data of each table, so that later rows are found.
+_CHECKED = [("orders", "orders_v", R.ORDER_RULES, "1998-01-01"), ("carts", "carts_v", R.CART_RULES, "2024-01-20"),
+            ("inventory", "inv_v", R.INVENTORY_RULES, None), ("lines", "lines_v", R.LINE_RULES, "1998-01-01")]
+
+
+def _source(spark, sf, name):
+    return {"orders": tb.orders, "carts": tb.carts, "inventory": tb.inventory, "lines": tb.sales_lines}[name](spark, sf)
+
+
+def _register_rules(name, view, rules, as_of):
+    keys = ["order_id", "line"] if name == "lines" else ["id"]
+
+    @register(f"validate_{name}", _validate_sql(view, rules, ", ".join(keys), as_of))
+    def _rows(spark, sf):
+        return R.validate(_source(spark, sf, name), rules, keys, as_of)
+
+
+for _table in _CHECKED:
+    _register_rules(*_table)
+
+
+@register("validation_report", _report_sql(_CHECKED))
+def _p13r(spark, sf):
+    parts = [R.rule_report(_source(spark, sf, name), rules, as_of).select(F.lit(name).alias("table"), "rule", "n_rows", "n_broken")
+             for name, _, rules, as_of in _CHECKED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 _DQ = """WITH q AS (SELECT quantile_cont(total, 0.25) AS q1, quantile_cont(total, 0.75) AS q3 FROM orders_v),
 d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM orders_v)),
 a AS (SELECT count(*) AS rows_, count(*) FILTER (WHERE total < 0) AS neg,
@@ -151,22 +212,23 @@ def _p14s(spark, sf):
     return P.quality_score(_dq(spark, sf))
 
 
-@register("profile_table", V("""
-WITH a AS (SELECT count(*) AS n, count(*) FILTER (WHERE id IS NULL) AS id_n, count(*) FILTER (WHERE total IS NULL) AS t_n,
-  count(*) FILTER (WHERE client IS NULL) AS c_n, count(*) FILTER (WHERE reference IS NULL) AS r_n,
-  count(*) FILTER (WHERE date IS NULL) AS d_n, count(*) FILTER (WHERE state IS NULL) AS s_n,
-  count(*) FILTER (WHERE payment IS NULL) AS p_n,
-  avg(id) AS id_m, stddev_samp(id) AS id_s, min(id) AS id_lo, max(id) AS id_hi,
-  avg(client) AS c_m, stddev_samp(client) AS c_s, min(client) AS c_lo, max(client) AS c_hi,
-  avg(total) AS t_m, stddev_samp(total) AS t_s, min(total) AS t_lo, max(total) AS t_hi FROM orders_v)
-SELECT 'id' AS "column", 'bigint' AS dtype, n AS rows, id_n AS nulls, round_even(id_m, 6) AS mean, round_even(id_s, 6) AS std,
-  round_even(id_lo, 6) AS min, round_even(id_hi, 6) AS max FROM a
-UNION ALL SELECT 'reference', 'string', n, r_n, NULL, NULL, NULL, NULL FROM a
-UNION ALL SELECT 'client', 'bigint', n, c_n, round_even(c_m, 6), round_even(c_s, 6), round_even(c_lo, 6), round_even(c_hi, 6) FROM a
-UNION ALL SELECT 'total', 'double', n, t_n, round_even(t_m, 6), round_even(t_s, 6), round_even(t_lo, 6), round_even(t_hi, 6) FROM a
-UNION ALL SELECT 'date', 'timestamp_ntz', n, d_n, NULL, NULL, NULL, NULL FROM a
-UNION ALL SELECT 'state', 'string', n, s_n, NULL, NULL, NULL, NULL FROM a
-UNION ALL SELECT 'payment', 'string', n, p_n, NULL, NULL, NULL, NULL FROM a""", "orders_v"))
+def _profile_sql():
+    parts = []
+    for c, dtype in (("id", "bigint"), ("reference", "string"), ("client", "bigint"), ("total", "double"), ("date", "timestamp_ntz"),
+                     ("state", "string"), ("payment", "string")):
+        head = f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls"
+        x = f"CAST({c} AS DOUBLE)"
+        stats = [f"avg({x})", f"stddev_samp({x})", f"min({x})", *[f"quantile_cont({x}, {p})" for p in (0.25, 0.5, 0.75)], f"max({x})"]
+        if dtype in ("bigint", "double"):
+            values = [f"count({c})", *[f"round_even({e}, 6)" for e in stats]]
+        else:
+            values = ["CAST(NULL AS BIGINT)", *["CAST(NULL AS DOUBLE)"] * 7]
+        names = ("count", "mean", "std", "min", "q1", "median", "q3", "max")
+        parts.append(f"{head}, {', '.join(f'{v} AS {n}' for v, n in zip(values, names, strict=True))} FROM orders_v")
+    return V("\nUNION ALL ".join(parts), "orders_v")
+
+
+@register("profile_table", _profile_sql())
 def _p16(spark, sf):
     return P.profile_table(tb.orders(spark, sf))
 
@@ -204,6 +266,19 @@ def _rfm_long_sql() -> str:
         for i, v in enumerate(("r_score", "f_score", "m_score")))
 
 
+def _rfm_corr_sql() -> str:
+    from ledgerlake.plans import q_customers  # noqa: F401  (registers the rfm oracle first)
+    from ledgerlake.plans.registry import ORACLES
+    names = ("r_score", "f_score", "m_score")
+    return " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round_even(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr "
+                              f"FROM ({ORACLES['rfm']}) AS t{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names))
+
+
+@register("rfm_score_correlation", _rfm_corr_sql())
+def _p18r(spark, sf):
+    return P.correlation_matrix(C.rfm(tb.orders(spark, sf)), ["r_score", "f_score", "m_score"])
+
+
 @register("unpivot_scores", _rfm_long_sql())
 def _p19(spark, sf):
     return P.unpivot_scores(C.rfm(tb.orders(spark, sf)), ["client"], ["r_score", "f_score", "m_score"])

@@ -120,6 +120,32 @@ def _x6(spark, sf):
     return X.table_cell_aggregate(B.country_stats(tb.orders(spark, sf, with_country=True)), "total_revenue", "sum")
 
 
+def _cells(spark, sf):
+    return B.country_stats(tb.orders(spark, sf, with_country=True))
+
+
+_CELLS = """WITH cs AS (SELECT country, round_even(sum(total), 2) AS total_revenue, count(total) AS order_count FROM orders_c
+            WHERE country IS NOT NULL GROUP BY country)"""
+
+
+@register("table_cell_average", tb.with_views(f"""{_CELLS}
+SELECT count(*) AS cells, round_even(avg(order_count), 6) AS answer_value, 'average' AS aggregation FROM cs""", "orders_c"))
+def _x6a(spark, sf):
+    return X.table_cell_aggregate(_cells(spark, sf), "order_count", "average")
+
+
+@register("table_cell_count", tb.with_views(f"""{_CELLS}
+SELECT count(*) AS cells, CAST(count(*) AS DOUBLE) AS answer_value, 'count' AS aggregation FROM cs WHERE country < 'J'""", "orders_c"))
+def _x6c(spark, sf):
+    return X.table_cell_aggregate(_cells(spark, sf), "country", "count", where=F.col("country") < "J")
+
+
+@register("table_cell_none", tb.with_views(f"""{_CELLS}
+SELECT country AS answer FROM cs""", "orders_c"))
+def _x6n(spark, sf):
+    return X.table_cell_aggregate(_cells(spark, sf), "country", "none")
+
+
 @register("instruction_pairs")
 def _x7(spark, sf):
     return X.instruction_pairs(kpi_table(spark, sf), TEMPLATES)
