@@ -62,6 +62,62 @@ def chunk_overlap(docs: DataFrame, size: int = 2000, overlap: int = 200, **kw) -
     return chunk_text(docs, size=size, overlap=overlap, **kw)
 
 
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def chunk_separated(docs: DataFrame, size: int = 2000, overlap: int = 200, separators: Sequence[str] = SEPARATORS,
+                    text: str = "text", keep: Sequence[str] = ("doc_id", "source")) -> DataFrame:
+    """X2 with separators: (keep..., chunk_ix, start, chunk), ``start`` from 0.
+
+    What is left of a text is its last chunk if it has at most ``size``
+    characters. Otherwise the chunk ends after the last first-choice separator of
+    its ``size`` characters, if that lies in their second half, else after the
+    last second-choice one, and so on, else at ``size``. The next chunk begins
+    ``overlap`` characters before that end, so the chunks cover the text. Null and
+    empty texts give no chunk. A separator is one character, repeated or not.
+
+    A fold over the chunks' numbers carries the place and the chunks so far. It
+    reads the text through pages, so a step costs a page and not the text.
+    """
+    least = size // 2
+    if overlap >= least or any(len(set(s)) != 1 for s in separators):
+        raise ValueError("overlap must be below size // 2, a separator one character or its repetition")
+    page = 8 * size
+    length = F.length(text)
+    parts = F.transform(F.sequence(F.lit(0), F.floor(length / F.lit(page)).cast("int") + 1),
+                        lambda i: F.substring(F.col(text), i * page + 1, F.lit(page)))
+    kind = "array<struct<start:int,chunk:string>>"
+
+    def end_in(w):
+        cut = F.lit(size)
+        for s in reversed(separators):
+            back = F.locate(s, F.reverse(w))
+            at = F.length(w) - back + 1
+            cut = F.when((back > 0) & (at >= least), at).otherwise(cut)
+        return cut
+
+    def fold(doc):
+        pages, length = doc["pages"], doc["length"]  # counted once, not at every step
+
+        def step(acc, _):
+            place = acc["place"]
+            # A one-element array binds a value, so that it is worked out once.
+            nth = F.floor(place / F.lit(page)).cast("int")
+            window = F.substring(F.concat(F.get(pages, nth), F.coalesce(F.get(pages, nth + 1), F.lit(""))), place - nth * page + 1, F.lit(size))
+            moved = F.get(F.transform(F.array(window), lambda w: F.get(F.transform(
+                F.array(F.when(place + size >= length, F.length(w)).otherwise(end_in(w))),
+                lambda cut: F.struct(
+                    F.when(place + size >= length, F.lit(-1)).otherwise(place + cut - overlap).cast("int").alias("place"),
+                    F.concat(acc["done"], F.array(F.struct(place.alias("start"), F.substring(w, F.lit(1), cut).alias("chunk")))).cast(kind).alias("done"))), 0)), 0)
+            return F.when(place < 0, acc).otherwise(moved)
+        start = F.struct(F.lit(0).alias("place"), F.array().cast(kind).alias("done"))
+        steps = F.ceil(length / F.lit(least - overlap)).cast("int") + 1
+        return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["done"])
+
+    found = docs.where(length > 0).select(*keep, F.posexplode(F.get(F.transform(F.array(F.struct(parts.alias("pages"), length.alias("length"))), fold), 0)).alias("chunk_ix", "_c"))
+    return found.select(*keep, "chunk_ix", F.col("_c.start").alias("start"), F.col("_c.chunk").alias("chunk"))
+
+
 def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean vector per label: (label, centroid array<double>). Work is
     per (label, dimension), so it is bounded by labels x dimensions."""

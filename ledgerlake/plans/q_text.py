@@ -43,6 +43,31 @@ def _x2(spark, sf):
     return X.chunk_overlap(tb.read_table(spark, sf, "documents"))
 
 
+def _separated_sql(size: int, overlap: int) -> str:
+    cuts = " ".join(f"WHEN length(regexp_extract(w, '(?s)^.*{s}')) >= {size // 2} THEN length(regexp_extract(w, '(?s)^.*{s}'))"
+                    for s in ("\\n\\n", "\\n", " "))
+    window = f"substring(text, CAST(start + 1 AS BIGINT), {size})"
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, source, text, 0 AS ix, 0 AS start FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, source, text, ix + 1, CAST(start + CASE {cuts} ELSE {size} END - {overlap} AS INTEGER)
+  FROM (SELECT *, {window} AS w FROM c WHERE start + {size} < length(text)))
+SELECT doc_id, source, ix AS chunk_ix, start,
+  substring(w, 1, CASE WHEN start + {size} >= length(text) THEN {size} {cuts} ELSE {size} END) AS chunk
+FROM (SELECT *, {window} AS w FROM c)"""
+
+
+@register("chunk_separated", _separated_sql(2000, 200))
+def _x2s(spark, sf):
+    return X.chunk_separated(tb.read_table(spark, sf, "documents"))
+
+
+@register("chunk_separated_short", _separated_sql(200, 40))
+def _x2ss(spark, sf):
+    return X.chunk_separated(tb.read_table(spark, sf, "documents"), size=200, overlap=40)
+
+
 @register("vector_topk", """
 WITH x AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings
            WHERE label IS NOT NULL),
