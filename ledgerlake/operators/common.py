@@ -54,6 +54,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task of ``spread`` gets on average.
+ROWS_A_TASK = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many partitions as about ``rows`` rows need, so
+    that a task's memory does not grow with the table; unlike the partitions of a plain
+    shuffle, these are neither fixed in number nor merged. Groups, windows and joins
+    by the keys (groups and windows also by more columns) follow without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, rows // 10_000), -(-rows // ROWS_A_TASK)), *keys)
+
+
 def _order_exprs(order: Sequence) -> list[Column]:
     return [col_of(c) for c in order]
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import pct, period_start, r2, r6, rnd, safe_div
 from ledgerlake.functions.quantile import quantiles_of
-from ledgerlake.operators.common import ordered_cumsum, settled
+from ledgerlake.operators.common import ordered_cumsum, settled, spread
 
 INF = float("inf")
 
@@ -98,7 +98,7 @@ def inventory_metrics(lines: DataFrame, inventory: DataFrame, ref: str = "ref",
     """I4: per inventory item, daily and weekly sales (observed days/weeks)
     mean/std/count, turnover ratios, days of inventory, stock status, CV and
     risk. Items without sales get zeros (and +inf days of inventory)."""
-    l = lines.where(F.col(ref).isNotNull() & F.col(date).isNotNull())
+    l = _by_product(lines, ref).where(F.col(date).isNotNull())
     daily = l.groupBy(ref, F.to_date(date).alias("_d")).agg(F.sum(qty).alias("_q"))
     # weeks are sums of days: one pass over the lines feeds both grains
     weekly = daily.groupBy(ref, period_start("_d", "W").alias("_w")).agg(F.sum("_q").alias("_q"))
@@ -134,6 +134,11 @@ def inventory_metrics(lines: DataFrame, inventory: DataFrame, ref: str = "ref",
                     r6("daily_sales_cv").alias("daily_sales_cv"), risk.alias("stock_risk"))
 
 
+def _by_product(lines: DataFrame, ref: str) -> DataFrame:
+    """The lines with a product, spread by it."""
+    return spread(lines.where(F.col(ref).isNotNull()), lines.count(), ref)
+
+
 def product_profitability(lines: DataFrame, inventory: DataFrame, period: str = "M",
                           min_sales: float = 1, ref: str = "ref", qty: str = "qty",
                           date: str = "date") -> DataFrame:
@@ -141,23 +146,21 @@ def product_profitability(lines: DataFrame, inventory: DataFrame, period: str =
     distinct active periods; revenue = units x retail, cost, profit, margin %
     and units per period (both half-even 2 dp); keep units >= min_sales.
 
-    Two-level aggregation: (product, period) first, so the distinct period
-    count is a plain count and no Expand is planned.
+    Lines are spread by product and added up by (product, period), then by
+    product, within the same tasks, so the distinct period count is a plain
+    count; what meets the inventory is a row per product.
     """
-    # Lines are reduced to (product, period) before they meet the inventory:
-    # the join key is part of the grouping and the inventory only adds group
+    # The join key is part of the grouping and the inventory only adds group
     # keys and min() prices, so pre-aggregating is exact (duplicate inventory
     # ids still fan out the sums, as the row-level merge does).
-    pre = lines.where(F.col(ref).isNotNull()).groupBy(ref, period_start(date, period).alias("_p")).agg(
+    pre = _by_product(lines, ref).groupBy(ref, period_start(date, period).alias("_p")).agg(
         F.sum(qty).alias("_u0"), F.count(qty).alias("_t0"))
+    pre = pre.groupBy(ref).agg(F.sum("_u0").alias("_u"), F.sum("_t0").alias("_t"), F.count("_p").alias("_n"))
     e = enrich_sales(pre, inventory, ref=ref).where(F.col("lib").isNotNull() & F.col("sfa").isNotNull())
-    p1 = e.groupBy(ref, "lib", "sfa", "_p").agg(
-        F.sum("_u0").alias("_u"), F.sum("_t0").alias("_t"), F.min("factory_price").alias("_c"),
-        F.min("retail").alias("_r"), F.min("retail_us").alias("_ru"))
-    g = p1.groupBy(ref, "lib", "sfa").agg(
+    g = e.groupBy(ref, "lib", "sfa").agg(
         F.sum("_u").alias("total_units"), F.sum("_t").alias("total_transactions"),
-        F.min("_c").alias("cost_price"), F.min("_r").alias("retail_price"),
-        F.min("_ru").alias("retail_price_us"), F.count("_p").alias("active_periods"))
+        F.min("factory_price").alias("cost_price"), F.min("retail").alias("retail_price"),
+        F.min("retail_us").alias("retail_price_us"), F.max("_n").alias("active_periods"))
     g = g.withColumn("total_revenue", F.col("total_units") * F.col("retail_price")) \
          .withColumn("total_cost", F.col("total_units") * F.col("cost_price")) \
          .withColumn("gross_profit", F.col("total_revenue") - F.col("total_cost"))
@@ -225,7 +228,7 @@ def stock_recommendations(lines: DataFrame, inventory: DataFrame, lead_time_days
     selling day) propagates, leaving the status Adequate."""
     sd = safety_days or SAFETY_STOCK_DAYS
     abc = abc_classes(lines, inventory, period, partitions=partitions)
-    daily = lines.where(F.col(ref).isNotNull()).groupBy(date, ref).agg(F.sum(qty).alias("_q"))
+    daily = _by_product(lines, ref).groupBy(date, ref).agg(F.sum(qty).alias("_q"))
     st = daily.groupBy(F.col(ref).alias("product_id")).agg(
         F.avg("_q").alias("avg_daily_sales"), F.stddev_samp("_q").alias("sales_std"),
         F.max("_q").alias("max_daily_sales"))
