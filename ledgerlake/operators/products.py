@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import month_start, pct, r2, r6, safe_div, xsum
-from ledgerlake.operators.common import ordered_cumsum
+from ledgerlake.operators.common import ordered_cumsum, settled, spread
 
 WIDE_BLOCK = 256
 
@@ -66,10 +66,13 @@ def product_repeat_rate(items: DataFrame, product: str = "product", client: str
 
 
 def monthly_product_sales(items: DataFrame, product: str = "product", qty: str = "quantity",
-                          price: str = "line_price", date: str = "date") -> DataFrame:
-    """R5 (long form, the contract): units and revenue per observed (month, product)."""
-    g = items.where(F.col(product).isNotNull() & F.col(date).isNotNull()) \
-             .groupBy(month_start(date).alias("month"), product) \
+                          price: str = "line_price", date: str = "date", rows: int | None = None) -> DataFrame:
+    """R5 (long form, the contract): units and revenue per observed (month, product).
+    With ``rows``, about the number of items, they are spread by product first."""
+    items = items.where(F.col(product).isNotNull() & F.col(date).isNotNull())
+    if rows is not None:
+        items = spread(items, rows, product)
+    g = items.groupBy(month_start(date).alias("month"), product) \
              .agg(F.sum(qty).alias("units"), xsum(price).alias("revenue"))
     return g.select("month", product, r6("units").alias("units"), r2("revenue").alias("revenue"))
 
@@ -119,7 +122,7 @@ def items_per_order(items: DataFrame, order: str = "order_id", qty: str = "quant
 
 
 def cross_sell_pairs(items: DataFrame, min_frequency: int = 2, block: int = 256,
-                     order: str = "order_id", product: str = "product") -> DataFrame:
+                     order: str = "order_id", product: str = "product", rows: int | None = None) -> DataFrame:
     """Unordered product pairs bought in the same order in at least
     ``min_frequency`` orders -> (product_a < product_b, orders).
 
@@ -130,13 +133,21 @@ def cross_sell_pairs(items: DataFrame, min_frequency: int = 2, block: int = 256,
       basket is spread over many join keys of at most block^2 candidate
       pairs each, instead of one self-join group. Typical baskets are one
       block, i.e. a plain self-join on the order id.
-    * Pair counts use partial aggregation before the shuffle.
+    * Rows and pairs are counted before they are spread, so a task's share of
+      them is the same at any size (``rows``: about the number of items).
     """
-    op = items.where(F.col(order).isNotNull() & F.col(product).isNotNull()).select(order, product).distinct()
-    support = op.groupBy(product).agg(F.count(F.lit(1)).alias("_sup")).where(F.col("_sup") >= min_frequency)
-    opf = op.join(support.select(product), product, "left_semi")
+    items = items.where(F.col(order).isNotNull() & F.col(product).isNotNull()).select(order, product)
+    op = settled(items.distinct() if rows is None else spread(items, rows, order).distinct())
+    n = op.count()
+    by_product = spread(op, n, product)
+    support = by_product.groupBy(product).agg(F.count(F.lit(1)).alias("_sup")).where(F.col("_sup") >= min_frequency)
+    opf = spread(by_product.join(support.select(product), product, "left_semi"), n, order)
     sizes = opf.groupBy(order).agg(F.count(F.lit(1)).alias("_size"))
-    opf = opf.join(sizes, order).where(F.col("_size") > 1)
+    opf = settled(opf.join(sizes, order).where(F.col("_size") > 1))
+    # rows of both copies, and pairs: they say how far to spread the join and the counts
+    blocks = F.ceil(F.col("_size") / F.lit(block)) + 1
+    made = opf.agg(F.sum(blocks), F.sum((F.col("_size") - 1) / 2)).first()
+    copies, n_pairs = int(made[0] or 0), int(made[1] or 0)
     opf = opf.withColumn("_nb", F.ceil(F.col("_size") / F.lit(block)).cast("int")) \
              .withColumn("_b", F.pmod(F.xxhash64(product), F.col("_nb")).cast("int"))
     # left copy: item a in block i, paired with every block j >= i
@@ -145,11 +156,13 @@ def cross_sell_pairs(items: DataFrame, min_frequency: int = 2, block: int = 256,
     # right copy: item b in block j, visited from every block i <= j
     right = opf.select(order, F.col(product).alias("_p"), F.col("_b").alias("_j"),
                        F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"))
-    pairs = left.join(right, [order, "_i", "_j"]).where(
+    at = [order, "_i", "_j"]
+    pairs = spread(left, copies, *at).join(spread(right, copies, *at), at).where(
         (F.col("_i") < F.col("_j")) | (F.col("_a") < F.col("_p")))
     pa = F.least("_a", "_p").alias("product_a")
     pb = F.greatest("_a", "_p").alias("product_b")
-    cnt = pairs.groupBy(pa, pb).agg(F.count(F.lit(1)).alias("orders"))
+    pairs = spread(pairs.select(pa, pb), n_pairs, "product_a", "product_b")
+    cnt = pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("orders"))
     return cnt.where(F.col("orders") >= min_frequency)
 
 

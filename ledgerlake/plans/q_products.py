@@ -89,7 +89,7 @@ SELECT a.product AS product_a, b.product AS product_b, count(*) AS orders
 FROM op a JOIN op b ON a.order_id = b.order_id AND a.product < b.product
 GROUP BY 1, 2 HAVING count(*) >= 2""", "items_v"))
 def _r8(spark, sf):
-    return R.cross_sell_pairs(_items(spark, sf))
+    return R.cross_sell_pairs(_items(spark, sf), rows=tb.read_table(spark, sf, "lineitem").count())
 
 
 @register("top_product_series", V(f"""
