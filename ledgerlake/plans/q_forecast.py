@@ -22,7 +22,8 @@ MONTHLY_KPIS = ["revenue", "orders", "unique_customers", "aov", "returning_custo
 
 def product_panel(spark, sf):
     """Product x month revenue (cents), each series to the last month of the data."""
-    return FC.complete_panel(R.monthly_product_sales(tb.order_items(spark, sf)), "product", "month", "revenue")
+    rows = tb.read_table(spark, sf, "lineitem").count()
+    return FC.complete_panel(R.monthly_product_sales(tb.order_items(spark, sf), rows=rows), "product", "month", "revenue")
 
 
 _PANEL = f"""d AS (SELECT product AS series_id, {month()} AS period, round_even(sum(line_price), 2) AS y
