@@ -325,6 +325,43 @@ def test_repeats_are_cut_as_by_brute_force(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeats_in_small_buckets_and_shards(docs, spark, monkeypatch):
+    """Buckets follow the bytes of the texts; a shard keeps only the windows of an anchor that it cuts."""
+    want = sorted(map(str, suffix_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1_000)
+    size = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    assert suffix_dedup._buckets(docs) == -(-size // 1_000) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(str, suffix_dedup.remove_repeats(docs).collect())) == want
+
+    def bucket(mh):  # strings of 70 bytes: three distinct ones of each anchor, each twice
+        r = np.random.default_rng(1)
+        one = {(m, i % 3): r.integers(97, 123, 70).astype(np.uint8).tobytes() for m, i in zip(mh, range(len(mh)))}
+        text = [one[m, i % 3] for i, m in enumerate(mh)]
+        cols = {"mh": np.array(mh, np.uint64), "doc": np.arange(len(mh)), "crc": np.zeros(len(mh), np.uint32), "a": np.zeros(len(mh), np.uint32)}
+        return text, suffix_dedup._packed(suffix_dedup.STRINGS, np.zeros(len(mh), np.int64), cols | {"text": np.array(text, object)}, 1)
+
+    held = []
+
+    def known(*args):
+        out = kept(*args)
+        held.append(len(out[0]))
+        return out
+
+    kept = suffix_dedup._known
+    monkeypatch.setattr(suffix_dedup, "_known", known)
+    monkeypatch.setattr(suffix_dedup, "SHARD_ROWS", 4)
+    text, rows = bucket([m for m in range(20) for _ in range(6)])
+    class Here:
+        def repartitionById(self, *_):
+            return self
+        def mapInArrow(self, run, _):
+            return list(run(iter([rows])))
+    found = [t for b in suffix_dedup._compare(Here(), 1) for x in b.column(2) for t in suffix_dedup.unpack(x.as_py()).to_pylist()]
+    first = {t: i for i, t in reversed(list(enumerate(text)))}
+    assert sorted((r["doc"], r["start"], r["size"]) for r in found) == [(i, 0, 70) for i, t in enumerate(text) if first[t] < i]
+    assert max(held) <= 3 * 21
+
+
 def test_different_runs_of_one_anchor_stay(spark):
     """Windows with one anchor whose class hashes agree in their upper 32 bits."""
     x = "7yjdaniixpjzbiezcdsegmfwqwkzyvqu40a3p5essxesizeou5", "cskvl44ot6zror6ftdsegmfwqwkzyvqu4dvi8zc7yjo dl  cd"
