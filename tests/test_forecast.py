@@ -185,3 +185,42 @@ def test_each_series_is_forecast_by_its_winner(spark):
     errors = [b[1] - a[1] for a, b in zip(walk, walk[1:])]
     step = min((r for r in out if r.series_id == "step"), key=lambda r: r.h)
     assert step.yhat == walk[-1][1] and step.yhat_lower == pytest.approx(walk[-1][1] + np.quantile(errors, 0.025), abs=1e-5)
+
+
+def test_trees_fitted_together_are_those_of_mllib(spark, monkeypatch):
+    """Every model has MLlib's predictions, with sampled cuts, ties, written-back rows and grouped sums."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import functions as F
+    from ledgerlake.operators import trees as T
+    rng = np.random.default_rng(3)
+    passes = []
+    monkeypatch.setattr(T, "_summed", lambda *a, kept=T._summed: (passes.append(len(a[1])), kept(*a))[1])
+    x = rng.integers(0, 40, (12_000, 3)) * (rng.random((12_000, 3)) < 0.6)
+    y = np.round(x[:, 0] * 3.1 + (x[:, 1] > 9) * x[:, 2] + rng.normal(size=12_000), 2)
+    rows = FC.settled(spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x.tolist(), y.tolist())], "a double, b double, c double, y double").coalesce(2))
+    some = [rows, rows.where("a < 20"), rows.limit(20)]
+    ours = [T.BoostedTrees(r, ["a", "b", "c"], "y", 5, 4, 0.25, 42) for r in some]
+    T.fit_together(ours)
+    assert len(passes) == 5 * 4 and passes[0] == 3
+    for r, own in zip(some, ours):
+        fit = GBTRegressor(labelCol="y", maxIter=5, stepSize=0.25, maxDepth=4, seed=42).fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(r))
+        both = own.transform(fit.setPredictionCol("theirs").transform(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows)))
+        assert both.where(F.abs(F.col("prediction") - F.col("theirs")) > 1e-9).count() == 0
+    grouped = T.BoostedTrees(rows.repartition(6), ["a", "b", "c"], "y", 5, 4, 0.25, 42)
+    monkeypatch.setattr(T, "DIRECT", 2)
+    monkeypatch.setattr(T, "GROUP", 2)
+    monkeypatch.setattr(T, "CHUNK", 500)
+    monkeypatch.setattr(T, "_edges", lambda m, kept=T._edges: kept(ours[0]))
+    T.fit_together([grouped])
+    assert all((a.feature == b.feature).all() and np.allclose(a.value, b.value) for a, b in zip(grouped.trees, ours[0].trees))
+
+
+def test_folds_and_forecast_are_fitted_in_the_same_passes(spark, monkeypatch):
+    from ledgerlake.operators import trees as T
+    calls = []
+    monkeypatch.setattr(FC, "fit_together", lambda models: (calls.append(len(models)), T.fit_together(models)))
+    panel = _panel(spark, {f"s{i}": _seasonal(30, a=100.0 + 10 * i) for i in range(3)})
+    assert FC.gbt_forecast(panel, horizon=2).count() == 6 and calls == [6]
+    sel = FC.select_forecast_model(panel, with_gbt=True)
+    assert {r.model for r in sel.collect()} == {"naive", "seasonal_trend", "gbt"} and len(calls) == 2
